@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern for which `cut` is right. With any other, texts aren't cut up.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps; about 100 MB.
-KEPT = 500_000
+#: Pieces that a worker keeps in each of two generations; about 50 MB each.
+KEPT = 250_000
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 TWO_SPACES = re.compile(r"\s\s")
 #: Characters of texts that are cut up at once; bounds the memory of a worker.
-AT_ONCE = 6_000_000
+AT_ONCE = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,12 +133,25 @@ class Pairs:
         return out
 
 
+class Kept:
+    """Ids of pieces seen lately: what isn't asked for while a generation fills up is forgotten with the next."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, new: dict[str, bytes]) -> None:
+        if len(self.young) >= KEPT:
+            self.old, self.young = self.young, {}
+        self.young.update(new if max(map(len, new), default=0) <= 64 else {p: x for p, x in new.items() if len(p) <= 64})
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find, self.cuts = ranks, regex.compile(pattern).findall, pattern == PATTERN
         self.pairs, self.top = Pairs(ranks), max(ranks.values(), default=0)
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept()
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, all of them worked through by one queue; ids as little-endian unsigned 32-bit integers.
@@ -246,18 +259,9 @@ class Encoder:
 
     def new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that aren't kept: each match of the pattern by itself."""
-        ranks, known, open_, matches, find = self.ranks, {}, {}, [], self.find
+        ranks, known, open_, matches = self.ranks, {}, {}, []
         for piece in pieces:
-            body, first = piece[1:], piece[0]
-            # Letters, or letters and one mark, behind a space or a line end, are most pieces; the pattern cuts them so.
-            if not self.cuts or first not in " \n" or not body:
-                found = find(piece)
-            elif body.isalpha():
-                found = (piece,) if first == " " else (first, body)
-            elif body[-1] in ",." and body[:-1].isalpha():
-                found = (piece[:-1], body[-1]) if first == " " else (first, body[:-1], body[-1])
-            else:
-                found = find(piece)
+            found = (common(piece) if self.cuts else None) or self.find(piece)
             matches.append(found)
             for word in found:
                 if word not in known and word not in open_:
@@ -275,6 +279,18 @@ class Encoder:
         return encode_pieces(texts, self.kept, self.new_pieces, self.cuts)
 
 
+def common(piece: str) -> tuple[str, ...] | None:
+    """How the pattern cuts letters, or letters and one mark, behind a space or a line end; None for any other piece."""
+    body, first = piece[1:], piece[0]
+    if first not in " \n" or not body:
+        return None
+    if body.isalpha():
+        return (piece,) if first == " " else (first, body)
+    if body[-1] in ",." and body[:-1].isalpha():
+        return (piece[:-1], body[-1]) if first == " " else (first, body[:-1], body[-1])
+    return None
+
+
 def cut(text: str) -> list[str]:
     """Pieces of a text; a piece that doesn't begin with a line end stands for itself behind one space, but for the first."""
     if TWO_SPACES.search(text) or text[0].isspace() or text[-1].isspace():
@@ -283,7 +299,7 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-def encode_pieces(texts: list[str | None], kept: dict[str, bytes], new_pieces, cuts: bool = True) -> list[bytes]:
+def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool = True) -> list[bytes]:
     """Ids of each text from those of its pieces. `new_pieces` gives the ids of pieces that `kept` doesn't have."""
     out: list[bytes] = []
     k = 0
@@ -291,13 +307,12 @@ def encode_pieces(texts: list[str | None], kept: dict[str, bytes], new_pieces, c
     gc.disable()  # long lists without cycles: looking through them again and again finds nothing
     while k < len(texts):
         got, holes, firsts, missing, size = [], [], [], set(), 0
-        if len(kept) >= KEPT:
-            kept.clear()
+        known = kept.young.get
         while k < len(texts) and size < AT_ONCE:
             text = texts[k]
             pieces = (cut(text) if cuts else [text]) if text else [""]
             firsts.append(pieces[0])
-            ids = list(map(kept.get, pieces))
+            ids = list(map(known, pieces))
             ids[0] = b""
             open_ = [n for n, x in enumerate(ids) if x is None]
             absent = [pieces[n] for n in open_]
@@ -307,16 +322,18 @@ def encode_pieces(texts: list[str | None], kept: dict[str, bytes], new_pieces, c
             size += len(text or "")
             k += 1
         # Pieces are kept without the space in front; they are looked up as they stand in the text.
+        new = {p: kept.old[p] for p in missing if p in kept.old}
+        missing.difference_update(new)
         whole = [p if p[0] == "\n" else f" {p}" for p in missing]
         fresh = new_pieces([*whole, *{p for p in firsts if p}])
-        new = dict(zip(missing, map(fresh.__getitem__, whole)))
+        new.update(zip(missing, map(fresh.__getitem__, whole)))
         for first, ids, (open_, absent) in zip(firsts, got, holes):
             for n, p in zip(open_, absent):
                 ids[n] = new[p]
             if first:
                 ids[0] = fresh[first]
             out.append(b"".join(ids))
-        kept.update(new if max(map(len, new), default=0) <= 64 else {p: x for p, x in new.items() if len(p) <= 64})
+        kept.add(new)
     if collect:
         gc.enable()
     return out
@@ -332,6 +349,17 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 * AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values of a column have about `most` bytes together, or are one row."""
+    sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.num_rows else []
+    at = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(at, (at[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def per_row(df: DataFrame, column: str, result: str, work) -> DataFrame:
     """`df` with `work(values) -> arrays` of the named result columns added batch by batch; same-named columns are replaced."""
     added = [x.split()[0] for x in result.split(", ")]
@@ -340,9 +368,10 @@ def per_row(df: DataFrame, column: str, result: str, work) -> DataFrame:
     keep = [c for c in rows.columns if c != "__in"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = work(batch.column("__in").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *added])
+        for whole in batches:
+            for batch in slices(whole, "__in"):
+                arrays = work(batch.column("__in").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__in")
     return rows.mapInArrow(run, f"{schema}, {result}" if schema else result)
