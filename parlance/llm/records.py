@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import encode_pieces
+from parlance.llm.bpe import Kept, common, encode_pieces, slices
 from parlance.llm.shared import shared_dir, stored
 
 #: Fixed value: what masking adds.
@@ -87,7 +87,7 @@ def write_records(docs: DataFrame, encode: Callable[[list[str | None]], list[byt
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
         end, records, tokens, size = np.array([end_id], "<u4"), 0, 0, 0
         with store.open_output_stream(f"{path}.rec") as out, store.open_output_stream(f"{path}.idx") as index:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 ids = batch.column("id").to_pylist()
                 for doc_id, raw in zip(ids, encode(batch.column("text").to_pylist())):
                     data = frame(pack(doc_id, np.append(np.frombuffer(raw, "<u4"), end), width))
@@ -174,15 +174,23 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
         if path not in _tokenizers:
             made = Tokenizer.from_file(path)
             made.encode_special_tokens = True
-            _tokenizers[path] = made, {}
+            _tokenizers[path] = made, Kept()
         tokenizer, kept = _tokenizers[path]
 
         def new_pieces(pieces: list[str]) -> dict[str, bytes]:
-            out = {}
-            for k in range(0, len(pieces), 20_000):
-                some = pieces[k : k + 20_000]
-                out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-            return out
+            # Words behind a space may be known from a piece without the mark.
+            cuts = [common(p) or (p,) for p in pieces]
+            known, asked = {}, []
+            for word in {w for found in cuts for w in found}:
+                ids = (kept.young.get(word[1:]) or kept.old.get(word[1:])) if word[0] == " " else None
+                if ids is None:
+                    asked.append(word)
+                else:
+                    known[word] = ids
+            for k in range(0, len(asked), 10_000):
+                some = asked[k : k + 10_000]
+                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            return {p: known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found]) for p, found in zip(pieces, cuts)}
 
         return encode_pieces(texts, kept, new_pieces)
 
