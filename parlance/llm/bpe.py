@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern for which `cut` is right. With any other, texts aren't cut up.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps in each of two generations; about 50 MB each.
-KEPT = 250_000
+#: Pieces that a worker keeps in each of two generations; about 25 MB each.
+KEPT = 120_000
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 TWO_SPACES = re.compile(r"\s\s")
 #: Characters of texts that are cut up at once; bounds the memory of a worker.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,12 +136,13 @@ class Pairs:
 class Kept:
     """Ids of pieces seen lately: what isn't asked for while a generation fills up is forgotten with the next."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = KEPT) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def add(self, new: dict[str, bytes]) -> None:
-        if len(self.young) >= KEPT:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young.update(new if max(map(len, new), default=0) <= 64 else {p: x for p, x in new.items() if len(p) <= 64})
 
@@ -299,7 +300,7 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool = True) -> list[bytes]:
+def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool = True, at_once: int = AT_ONCE) -> list[bytes]:
     """Ids of each text from those of its pieces. `new_pieces` gives the ids of pieces that `kept` doesn't have."""
     out: list[bytes] = []
     k = 0
@@ -308,7 +309,7 @@ def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool =
     while k < len(texts):
         got, holes, firsts, missing, size = [], [], [], set(), 0
         known = kept.young.get
-        while k < len(texts) and size < AT_ONCE:
+        while k < len(texts) and size < at_once:
             text = texts[k]
             pieces = (cut(text) if cuts else [text]) if text else [""]
             firsts.append(pieces[0])
@@ -340,6 +341,7 @@ def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool =
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+_tokens: dict[str, dict[int, bytes]] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -392,11 +394,9 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with the bytes that the ids stand for (column decoded)."""
 
     def work(ids: list[bytes | None]) -> list[pa.Array]:
-        # The encoder's table serves here too: the inverse of the ranks.
-        enc = encoder(path, ".")
-        if not hasattr(enc, "tokens"):
-            enc.tokens = {rank: token for token, rank in enc.ranks.items()}
-        token = enc.tokens.__getitem__
+        if path not in _tokens:
+            _tokens[path] = {rank: token for token, rank in read_ranks(path).items()}
+        token = _tokens[path].__getitem__
         return [pa.array([b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids], pa.binary())]
 
     return per_row(rows, ids_col, "decoded binary", work)

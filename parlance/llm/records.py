@@ -35,6 +35,8 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 #: Bytes that a reader has in memory, besides the frame that it is in.
 CHUNK = 4 << 20
+#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 300 MB together.
+KEPT, AT_ONCE = 300_000, 6_000_000
 MANIFEST = "part int, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -87,7 +89,7 @@ def write_records(docs: DataFrame, encode: Callable[[list[str | None]], list[byt
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
         end, records, tokens, size = np.array([end_id], "<u4"), 0, 0, 0
         with store.open_output_stream(f"{path}.rec") as out, store.open_output_stream(f"{path}.idx") as index:
-            for batch in (part for whole in batches for part in slices(whole, "text")):
+            for batch in (part for whole in batches for part in slices(whole, "text", 2 * AT_ONCE)):
                 ids = batch.column("id").to_pylist()
                 for doc_id, raw in zip(ids, encode(batch.column("text").to_pylist())):
                     data = frame(pack(doc_id, np.append(np.frombuffer(raw, "<u4"), end), width))
@@ -174,8 +176,10 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
         if path not in _tokenizers:
             made = Tokenizer.from_file(path)
             made.encode_special_tokens = True
-            _tokenizers[path] = made, Kept()
-        tokenizer, kept = _tokenizers[path]
+            spaced = np.zeros(made.get_vocab_size() + 1, bool)
+            spaced[[n for token, n in made.get_vocab().items() if token[0] == "\u0120"]] = True  # how the file writes a space
+            _tokenizers[path] = made, Kept(KEPT), spaced
+        tokenizer, kept, spaced = _tokenizers[path]
 
         def new_pieces(pieces: list[str]) -> dict[str, bytes]:
             # Words behind a space may be known from a piece without the mark.
@@ -187,11 +191,20 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
                     asked.append(word)
                 else:
                     known[word] = ids
+            # Letters behind a space go as running text, of which each word starts with the only tokens that start with a space.
+            running = [w for w in asked if w[0] == " " and w[1:].isalpha()]
+            lines = ["".join(running[k : k + 1000]) for k in range(0, len(running), 1000)]
+            if lines:
+                ids = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+                cut_at = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
+                raw = ids.astype("<u4").tobytes()
+                known.update(zip(running, [raw[a:b] for a, b in zip(cut_at, cut_at[1:])], strict=True))
+                asked = [w for w in asked if w not in known]
             for k in range(0, len(asked), 10_000):
                 some = asked[k : k + 10_000]
                 known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
             return {p: known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found]) for p, found in zip(pieces, cuts)}
 
-        return encode_pieces(texts, kept, new_pieces)
+        return encode_pieces(texts, kept, new_pieces, at_once=AT_ONCE)
 
     return encode
