@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -340,6 +341,58 @@ def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool =
     return out
 
 
+def encode_columns(texts: list[str | None], kept: Kept, new_pieces, at_once: int = AT_ONCE) -> list[bytes]:
+    """As `encode_pieces` for texts that may be cut, but a piece costs Python work once a slice of texts, not once an occurrence."""
+    out: list[bytes] = [b""] * len(texts)
+    rows: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        if text:
+            rows.append(k)
+            size += len(text)
+            if size >= at_once:
+                encode_slice(texts, rows, out, kept, new_pieces)
+                rows, size = [], 0
+    if rows:
+        encode_slice(texts, rows, out, kept, new_pieces)
+    return out
+
+
+def encode_slice(texts: list[str | None], rows: list[int], out: list[bytes], kept: Kept, new_pieces) -> None:
+    odd = [k for k in rows if TWO_SPACES.search(texts[k]) or texts[k][0].isspace() or texts[k][-1].isspace()]
+    seen = set(odd)
+    plain = [k for k in rows if k not in seen]
+    lists = pc.split_pattern(pc.replace_substring(pa.array([texts[k] for k in plain], pa.large_string()), "\n", " \n"), " ")
+    cuts = [cut(texts[k]) for k in odd]
+    flat = pa.chunked_array([lists.flatten().cast(pa.large_string()), pa.array([p for found in cuts for p in found], pa.large_string())])
+    sizes = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.fromiter(map(len, cuts), np.int64, len(cuts))]).astype(np.int64)
+    coded = flat.combine_chunks().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    ends = np.cumsum(sizes)
+    heads = code[ends - sizes]
+    # Pieces stand for themselves behind a space, but for the first of a text, which is a word of its own here.
+    inner = np.bincount(code, minlength=len(words)) > np.bincount(heads, minlength=len(words))
+    ids = [(kept.young.get(w) or kept.old.get(w)) if used else b"" for w, used in zip(words, inner.tolist())]
+    missing = [n for n, x in enumerate(ids) if x is None]
+    whole = [w if w[0] == "\n" else f" {w}" for w in (words[n] for n in missing)]
+    first, at_first = np.unique(heads, return_inverse=True)
+    firsts = [words[n] for n in first.tolist()]
+    fresh = new_pieces(list({*whole, *firsts}))
+    for n, w in zip(missing, whole):
+        ids[n] = fresh[w]
+    kept.add({words[n]: ids[n] for n in missing})
+    ids += [fresh[w] for w in firsts]
+    code[ends - sizes] = len(words) + at_first
+    tokens = np.frombuffer(b"".join(ids), "<u4")
+    lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    starts, long = np.cumsum(lens) - lens, lens[code]
+    stops = np.cumsum(long)
+    raw = tokens[np.repeat(starts[code] - (stops - long), long) + np.arange(stops[-1])].tobytes()
+    bounds = (4 * np.append(0, stops[ends - 1])).tolist()
+    for k, a, b in zip([*plain, *odd], bounds, bounds[1:]):
+        out[k] = raw[a:b]
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 _tokens: dict[str, dict[int, bytes]] = {}
 

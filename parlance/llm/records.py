@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import Kept, common, encode_pieces, slices
+from parlance.llm.bpe import Kept, common, encode_columns, slices
 from parlance.llm.shared import shared_dir, stored
 
 #: Fixed value: what masking adds.
@@ -35,8 +35,8 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 #: Bytes that a reader has in memory, besides the frame that it is in.
 CHUNK = 4 << 20
-#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 300 MB together.
-KEPT, AT_ONCE = 300_000, 6_000_000
+#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 400 MB together.
+KEPT, AT_ONCE = 400_000, 8_000_000
 MANIFEST = "part int, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -181,30 +181,38 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
             _tokenizers[path] = made, Kept(KEPT), spaced
         tokenizer, kept, spaced = _tokenizers[path]
 
+        def ask(words: list[str]) -> dict[str, bytes]:
+            """Ids of words by themselves."""
+            asked = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, asked)}
+
+        def ask_spaced(words: list[str]) -> dict[str, bytes]:
+            """Ids of words of letters behind a space: sent as running text, where only a word's first token starts with a space."""
+            lines = [" " + " ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cuts = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
+            raw = ids.astype("<u4").tobytes()
+            return dict(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
         def new_pieces(pieces: list[str]) -> dict[str, bytes]:
-            # Words behind a space may be known from a piece without the mark.
-            cuts = [common(p) or (p,) for p in pieces]
-            known, asked = {}, []
-            for word in {w for found in cuts for w in found}:
-                ids = (kept.young.get(word[1:]) or kept.old.get(word[1:])) if word[0] == " " else None
-                if ids is None:
-                    asked.append(word)
-                else:
-                    known[word] = ids
-            # Letters behind a space go as running text, of which each word starts with the only tokens that start with a space.
-            running = [w for w in asked if w[0] == " " and w[1:].isalpha()]
-            lines = ["".join(running[k : k + 1000]) for k in range(0, len(running), 1000)]
-            if lines:
-                ids = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-                cut_at = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
-                raw = ids.astype("<u4").tobytes()
-                known.update(zip(running, [raw[a:b] for a, b in zip(cut_at, cut_at[1:])], strict=True))
-                asked = [w for w in asked if w not in known]
-            for k in range(0, len(asked), 10_000):
-                some = asked[k : k + 10_000]
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-            return {p: known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found]) for p, found in zip(pieces, cuts)}
-
-        return encode_pieces(texts, kept, new_pieces, at_once=AT_ONCE)
+            # Most pieces are letters behind a space, or these and one mark; they share the words without marks.
+            plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+            marked = [p for p in pieces if p[-1] in ",." and p[0] == " " and p[1:-1].isalpha()]
+            done = {*plain, *marked}
+            others = [(p, common(p) or (p,)) for p in pieces if p not in done]
+            bases = {p[1:-1] for p in marked}
+            known = {w: ids for w in bases if (ids := kept.young.get(w) or kept.old.get(w)) is not None}
+            bases.difference_update(known)
+            bases.update([p[1:] for p in plain])
+            if bases:
+                known.update(ask_spaced(list(bases)))
+            parts = {w for _, found in others for w in found} | {p[-1] for p in marked}
+            single = ask(list(parts)) if parts else {}
+            out = {p: known[p[1:]] for p in plain}
+            out.update((p, known[p[1:-1]] + single[p[-1]]) for p in marked)
+            out.update((p, b"".join([single[w] for w in found])) for p, found in others)
+            return out
+
+        return encode_columns(texts, kept, new_pieces, AT_ONCE)
 
     return encode

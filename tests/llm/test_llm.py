@@ -195,3 +195,13 @@ def test_urls(spark):
     got = judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(listed, "entry string, verdict string, rule boolean"))
     want = {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("com/de/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "block"), 7: ("example.org/en/1", "block")}
     assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+
+
+def test_pieces_of_texts_by_column_and_one_by_one():
+    random.seed(9)
+    parts = ["a", "bc", "The", "é", "中", "12", "!!", " ", " ", " ", "\n", "\t", "  ", ",", "."]
+    texts = [None, "", " ", "\n", "a", *("".join(random.choice(parts) for _ in range(random.randint(1, 60))) for _ in range(2000))]
+    spell = lambda pieces: {p: b"".join(struct.pack("<I", ord(c)) for c in p) for p in pieces}
+    for size in (1, 700, 10**6):
+        assert bpe.encode_columns(texts, bpe.Kept(50), spell, size) == [(t or "").encode("utf-32-le") for t in texts]
+        assert bpe.encode_pieces(texts, bpe.Kept(50), spell, at_once=size) == [(t or "").encode("utf-32-le") for t in texts]
