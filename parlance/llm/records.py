@@ -35,8 +35,8 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 #: Bytes that a reader has in memory, besides the frame that it is in.
 CHUNK = 4 << 20
-#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 400 MB together.
-KEPT, AT_ONCE = 400_000, 8_000_000
+#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 500 MB together.
+KEPT, AT_ONCE = 400_000, 12_000_000
 MANIFEST = "part int, path string, records bigint, tokens bigint, bytes bigint"
 
 
