@@ -92,6 +92,16 @@ def intent_levels(spark, d):
     return t(spark, d, "benchmark").select("item_id", intent.detect_intent(q).alias("level"), intent.is_summary(q).alias("is_summary"))
 
 
+WHOLE_QUESTION = QUESTION.replace("substr(text, 1, 30)", "text")
+
+
+@query(f"""SELECT item_id, CASE WHEN regexp_matches(q, '(?i){RE["d"]}') THEN 'document' WHEN regexp_matches(q, '(?i){RE["s"]}') THEN 'segment' ELSE 'chunk' END AS level,
+{" OR ".join(f"contains(lower(q), '{w}')" for w in intent.SUMMARY)} AS is_summary FROM (SELECT item_id, trim({WHOLE_QUESTION}) AS q FROM benchmark)""")
+def intent_levels_whole(spark, d):
+    q = F.expr(WHOLE_QUESTION)
+    return t(spark, d, "benchmark").select("item_id", intent.detect_intent(q).alias("level"), intent.is_summary(q).alias("is_summary"))
+
+
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN value * 0.4 WHEN 'view' THEN 40 + value * 0.25 ELSE value END AS progress,
 CASE WHEN lower(props) IN ('true', '1', 'yes', 'on') THEN 'true' ELSE 'false' END AS flag, TRY_CAST(event_type AS BIGINT)::VARCHAR AS number FROM events""")
 def progress_and_settings(spark, d):
@@ -123,9 +133,10 @@ def interval_overlap_argmax(spark, d):
     return align.assign_speakers(asr, intervals(spark, d)).select("job_id", F.col("ord").alias("idx"), "speaker")
 
 
-def coarse(spark, d):
-    """Segments whose speaker changes seldom, with gaps."""
-    return segments(spark, d).select("job_id", F.col("idx").alias("ord"), F.when(F.col("idx") % 3 == 0, "A").otherwise("B").alias("speaker"), (F.col("start") + F.when(F.col("idx") % 5 == 4, 1.0).otherwise(0.0)).alias("start"), F.col("end"), F.substring("text", 1, 40).alias("text"))
+def coarse(spark, d, body=None):
+    """Segments whose speaker changes seldom, with gaps; the text is `body`, or 40 characters."""
+    body = F.substring("text", 1, 40) if body is None else body
+    return segments(spark, d).select("job_id", F.col("idx").alias("ord"), F.when(F.col("idx") % 3 == 0, "A").otherwise("B").alias("speaker"), (F.col("start") + F.when(F.col("idx") % 5 == 4, 1.0).otherwise(0.0)).alias("start"), F.col("end"), body.alias("text"))
 
 
 @query(f"""WITH {SEG}, c AS (SELECT job_id, idx AS ord, CASE WHEN idx % 3 = 0 THEN 'A' ELSE 'B' END AS speaker, s + CASE WHEN idx % 5 = 4 THEN 1.0 ELSE 0.0 END AS s, e, substr(text, 1, 40) AS text FROM seg),
@@ -136,6 +147,11 @@ def speaker_run_merge(spark, d):
     return align.merge_runs(coarse(spark, d))
 
 
+@query(SQL["speaker_run_merge"].replace("substr(text, 1, 40) AS text", "text"))
+def speaker_run_merge_whole(spark, d):
+    return align.merge_runs(coarse(spark, d, F.col("text")))
+
+
 @query(f"WITH {SEG} SELECT job_id, max_by(e, idx) AS last_end, max(e) AS max_end FROM seg GROUP BY job_id")
 def aligned_duration(spark, d):
     return align.durations(segments(spark, d).withColumnRenamed("idx", "ord"))
@@ -486,6 +502,17 @@ def speaker_prefix(spark, d):
     return transcripts.speaker_prefix(rows)
 
 
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN NULL ELSE role END AS speaker, CASE WHEN turn % 2 = 0 THEN 'Speaker ' || turn || ': ' || text ELSE text END AS text FROM conversations),
+h AS (SELECT *, speaker IS NULL AND regexp_matches(text, '^\\s*([A-Za-z0-9_\\-\\s]{1,40}):\\s*([^\\n]*)\\n?$') AS hit FROM c)
+SELECT conv_id, turn, CASE WHEN hit THEN 'Speaker ' || turn ELSE speaker END AS speaker,
+CASE WHEN hit THEN regexp_extract(text, '^\\s*([A-Za-z0-9_\\-\\s]{1,40}):\\s*([^\\n]*)\\n?$', 2) ELSE text END AS text FROM h""")
+def speaker_prefix_whole(spark, d):
+    """Whole texts with their line ends; as in the reference, a name is only taken from a text of one line."""
+    even = F.col("turn") % 2 == 0
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.when(even, F.lit(None).cast("string")).otherwise(F.col("role")).alias("speaker"), F.when(even, F.concat(F.lit("Speaker "), F.col("turn").cast("string"), F.lit(": "), "text")).otherwise(F.col("text")).alias("text"))
+    return transcripts.speaker_prefix(rows)
+
+
 @query("SELECT event_id, CASE WHEN b <> 0 AND (v < b - 0.1 OR v < b) THEN v + b ELSE v END AS at FROM (SELECT event_id, (event_id % 50)::DOUBLE AS v, (event_id % 4 * 20)::DOUBLE AS b FROM events)")
 def chunk_time_base(spark, d):
     return t(spark, d, "events").select("event_id", stitch.absolute_time((F.col("event_id") % 50).cast("double"), (F.col("event_id") % 4 * 20).cast("double")).alias("at"))

@@ -21,3 +21,17 @@ def test_transcript_quality_whole(spark, tmp_path):
         assert r.distance == edit_distance(list(a), list(b))
         want = (edit_distance(list(a), list(b)) / max(1, len(a)), wer, precision, recall, f1)
         assert [r.cer, r.wer, r.precision, r.recall, r.f1] == [round(x, 6) for x in want]
+
+
+def test_whole_texts_of_segments(spark, tmp_path):
+    texts = ["first " * 30 + "end", "second\nline " * 20 + "end", "third " * 30 + "end"]
+    d = conversations(spark, tmp_path, texts)
+    merged = sorted(QUERIES["speaker_run_merge_whole"](spark, d).collect(), key=lambda r: r.run)
+    assert " ".join(r.text for r in merged) == " ".join(texts)
+    named = {r.turn: (r.speaker, r.text) for r in QUERIES["speaker_prefix_whole"](spark, d).collect()}
+    assert named == {0: ("Speaker 0", texts[0]), 1: ("user", texts[1]), 2: ("Speaker 2", texts[2])}
+
+
+def test_intent_of_whole_items(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 40 + "main points")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert QUERIES["intent_levels_whole"](spark, str(tmp_path)).first().level == "document"
