@@ -34,7 +34,7 @@ def parts(url: Column) -> tuple[Column, Column]:
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     whole = F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^?#]*", 0)
     host = F.translate(F.regexp_extract(whole, r"^[^/]*", 0), UPPER, LOWER)
-    return host, F.regexp_extract(whole, r"^[^/]*(/.*)?$", 1)
+    return host, F.regexp_extract(whole, r"(?s)^[^/]*(/.*)?\z", 1)
 
 
 def place(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     """One row per page: id, host, path, rule, verdict. `listed` has the columns entry, verdict and rule (boolean)."""
     spark = pages.sparkSession
     listed = stored(listed.groupBy("entry").agg(F.max_by("verdict", F.col("rule").cast("int")).alias("verdict"), F.max("rule").alias("is_rule")))
-    path_of = F.regexp_extract("entry", r"^[^/]*(/.*)$", 1)
+    path_of = F.regexp_extract("entry", r"(?s)^[^/]*(/.*)\z", 1)
     lengths = [r[0] for r in listed.select(F.length(path_of).alias("n")).distinct().orderBy("n").collect()]  # at most the longest path's length
     sent = spark.sparkContext.broadcast(bloom(listed))
 
