@@ -165,7 +165,7 @@ _tokenizers: dict = {}
 
 
 def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Encode with the tokenizers library, without special tokens; a worker keeps the ids of pieces that it has seen."""
+    """Encode with the tokenizers library, adding no special tokens (those that a text holds are their ids); a worker keeps the ids of pieces that it has seen."""
 
     def encode(texts: list[str | None]) -> list[bytes]:
         import os
@@ -175,11 +175,11 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
 
         if path not in _tokenizers:
             made = Tokenizer.from_file(path)
-            made.encode_special_tokens = True
             spaced = np.zeros(made.get_vocab_size() + 1, bool)
             spaced[[n for token, n in made.get_vocab().items() if token[0] == "\u0120"]] = True  # how the file writes a space
-            _tokenizers[path] = made, Kept(KEPT), spaced
-        tokenizer, kept, spaced = _tokenizers[path]
+            added = [x.content for x in made.get_added_tokens_decoder().values()]
+            _tokenizers[path] = made, Kept(KEPT), spaced, added
+        tokenizer, kept, spaced, added = _tokenizers[path]
 
         def ask(words: list[str]) -> dict[str, bytes]:
             """Ids of words by themselves."""
@@ -213,6 +213,12 @@ def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
             out.update((p, b"".join([single[w] for w in found])) for p, found in others)
             return out
 
-        return encode_columns(texts, kept, new_pieces, AT_ONCE)
+        # White space before an added token is cut otherwise than before a word: such texts go to the library whole.
+        special = [k for k, text in enumerate(texts) if text and any(x in text for x in added)]
+        at = set(special)
+        out = encode_columns([None if k in at else text for k, text in enumerate(texts)] if at else texts, kept, new_pieces, AT_ONCE)
+        for k in special:
+            out[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     return encode

@@ -1,8 +1,26 @@
 """Texts, pages and URLs that lost a part before."""
 
+import random
+
+import numpy as np
+import public_tokenizers as P
+
+from parlance.llm import records
 from parlance.llm.url_filter import judge
 
 
+def test_records_keep_added_tokens():
+    from tokenizers import Tokenizer
+
+    random.seed(5)
+    path = P.path("byte_bpe_50k.json")
+    parts = ["a", " ", "  ", "\n", "<|endoftext|>", "word,", " The", "é", "\t", "<|endof"]
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>", None, "", *("".join(random.choice(parts) for _ in range(random.randint(1, 12))) for _ in range(2000))]
+    plain = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in records.library_encoder(path)(texts)]
+    assert 50256 in got[0] and got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_url_path_with_line_breaks(spark):
     pages = [(1, "http://example.org/es/a\nb?c"), (2, "http://example.org/es/a\n"), (3, "http://example.org/es/\r\nx#y")]
     got = judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([("example.org/es/", "block", True)], "entry string, verdict string, rule boolean")).collect()
