@@ -35,7 +35,9 @@ ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|style|aria-hidden)\s*=\s*(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Names of HTML elements, and words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea".split())
+RAW = frozenset("script style noscript iframe head title textarea".split())
+#: Their text isn't shown as text of the page; they end with their parent.
+HELD = frozenset("template object svg canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot "
@@ -101,7 +103,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
     out: list[tuple[str, float, int, int]] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # element, evidence of it and what is around it, number
     open_tags: dict[str, int] = {}
-    count, links, pieces, linked, low, at = 0, 0, [], 0, 0, 1
+    count, links, held, pieces, linked, low, at = 0, 0, 0, [], 0, 0, 1
     heading = False
 
     def flush() -> None:
@@ -125,10 +127,11 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal links, low, heading
+        nonlocal links, held, low, heading
         for tag, _, _ in stack[to:]:
             open_tags[tag] -= 1
             links -= tag == "a"
+            held -= tag in HELD
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = False
         del stack[to:]
@@ -144,7 +147,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not held:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -169,7 +172,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
             if open_tags.get(tag):
                 # An end tag of an inline element doesn't reach through the block that it stands in.
                 k = len(stack) - 1
-                while stack[k][0] != tag and (tag in BLOCK or stack[k][0] not in BLOCK):
+                while stack[k][0] != tag and (tag in BLOCK or tag in HELD or stack[k][0] not in BLOCK):
                     k -= 1
                 if stack[k][0] == tag:
                     pop(k)
@@ -185,6 +188,8 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
             continue
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
             continue
+        if tag in BLOCK and open_tags.get("svg") and (k := find(("svg",), ())):  # drawings hold no blocks
+            pop(k)
         if tag in BLOCK and open_tags.get("p") and (k := find(("p",), ("button", "td", "th", "caption", "object"))):
             pop(k)
         if tag in CLOSES and (k := find(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))):
@@ -197,6 +202,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
         stack.append((tag, stack[-1][1] + evidence, count))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
+        held += tag in HELD
         heading |= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     rest = page[place:]
     text(rest[: rest.find("<!--")] if "<!--" in rest else rest)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 
 from parlance.llm import records
+from parlance.llm.html_extract import main_text
 from parlance.llm.url_filter import judge
 
 
@@ -21,6 +22,17 @@ def test_records_keep_added_tokens():
     assert 50256 in got[0] and got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_html_open_media_end_with_their_parent():
+    article = "<article><p>This is the first sentence of the article, which is long enough.</p><p>And this is its second sentence, long enough too.</p></article>"
+    want = "This is the first sentence of the article, which is long enough.\nAnd this is its second sentence, long enough too."
+    for tag in ("svg", "object", "video", "audio", "canvas", "template"):
+        assert main_text(f"<body><div><{tag} id=x>lost words</div>{article}</body>") == want, tag
+        assert main_text(f"<body><div><{tag} id=x><p>lost words</{tag}></div>{article}</body>") == want, tag
+        assert main_text(article.replace("first sentence", f"first <{tag}>lost</{tag}> sentence")) == want, tag
+    assert "<" not in main_text(f"<body><svg><path d=x>{article}</body>")
+    assert main_text(article.replace("first sentence", "first <math><mi>x</mi></math> sentence")) == want.replace("first sentence", "first x sentence")
+
+
 def test_url_path_with_line_breaks(spark):
     pages = [(1, "http://example.org/es/a\nb?c"), (2, "http://example.org/es/a\n"), (3, "http://example.org/es/\r\nx#y")]
     got = judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([("example.org/es/", "block", True)], "entry string, verdict string, rule boolean")).collect()
