@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +9,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: the session's `spark.checkpoint.dir`; without it there is none, which is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -61,3 +58,41 @@ def numbered(df: DataFrame, part: list[str], spread: Column, order: list, bucket
 def bucket_count(rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
     """Buckets for `numbered`: a bucket of a part that holds all rows has about `per_bucket` of them."""
     return max(least, -(-rows // per_bucket))
+
+
+#: A broadcast bit table has at most so many words of 64 bits (16 bytes a row).
+MAX_WORDS = 1 << 19
+#: A key with more than this share of all rows is hot; there are at most so many such keys.
+HOT_KEYS = 1000
+
+
+def bit_of(key: Column, words: int) -> tuple[Column, Column]:
+    """Word and bit of a key in a table of `words` words."""
+    h = F.xxhash64(key, F.lit(7))
+    return F.pmod(F.shiftright(h, 6), F.lit(words).cast("bigint")), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bit_table(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """Rows (word, bits) of a filter over about `n` keys, and its size: eight or more bits a key up to the limit, beyond which more pass it."""
+    words = 1 << min(MAX_WORDS.bit_length() - 1, max(6, (n // 4).bit_length()))
+    word, bit = bit_of(F.col(key), words)
+    rows = keys.select(word.alias("__word"), bit.alias("__bit"))
+    return stored(rows.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))), words
+
+
+def with_hit(df: DataFrame, key: str, table: tuple[DataFrame, int], name: str) -> DataFrame:
+    """`df` with the column `name`: false where the key isn't among the table's keys for certain."""
+    bits, words = table
+    word, bit = bit_of(F.col(key), words)
+    out = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bits), "__word", "left")
+    return out.withColumn(name, F.coalesce(F.getbit("__bits", F.col("__bit")) == 1, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def skewed_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """`rows` joined with `side`, which has a key once. Keys that `hot` (a condition on `side`) names, HOT_KEYS at most, are sent
+    to the rows; only the other rows are dealt by key, so no task gets all rows of a hot key."""
+    side = side.withColumn("__hot", F.coalesce(hot, F.lit(False)))
+    some = F.broadcast(side.where("__hot").drop("__hot"))
+    other = side.where("NOT __hot").drop("__hot")
+    cold = rows.join(F.broadcast(side.where("__hot").select(*keys)), keys, "left_anti")
+    return rows.join(some, keys).unionByName(cold.join(other, keys, how))
