@@ -104,17 +104,7 @@ FROM (SELECT doc_id, {NORM} AS norm FROM documents) WINDOW w AS (PARTITION BY no
 """
 
 
-def op3_sql(top_ups: int = 4) -> str:
-    rounds = "".join(
-        f""",
-g{k} AS (SELECT source, any_value(left_words) - sum(more * size) AS gap FROM p{k} GROUP BY source),
-b{k} AS (SELECT doc_id AS b_id FROM p{k} p JOIN g{k} g ON p.source IS NOT DISTINCT FROM g.source
-  WHERE more = 0 AND abs(gap - size) < abs(gap) AND ({str(k + 1 == top_ups).lower()} OR size <= gap)
-  QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(gap - size), u, doc_id) = 1),
-p{k + 1} AS (SELECT * REPLACE (CASE WHEN b_id IS NOT NULL THEN 1 ELSE more END AS more) FROM (SELECT p.*, b_id FROM p{k} p LEFT JOIN b{k} ON doc_id = b_id))"""
-        for k in range(top_ups)
-    ).replace("p.*, b_id FROM", "p.* EXCLUDE (b_id), b.b_id FROM").replace(" p LEFT JOIN b", " p LEFT JOIN b").replace("ON doc_id = b_id))", "b ON doc_id = b.b_id))")
-    return f"""
+OP3_BEGIN = """
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS size FROM documents),
 a AS (SELECT source, sum(size)::BIGINT AS words FROM s GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS weight FROM a),
@@ -123,17 +113,33 @@ o AS (SELECT *, sum(words) OVER () - coalesce(sum(3 * words) OVER b, 0) AS free_
   FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT free_words::DOUBLE / free_weight AS level FROM o WHERE free_words::DOUBLE / free_weight <= ratio ORDER BY ratio LIMIT 1),
 t AS (SELECT source, words, least((3 * words)::DOUBLE, coalesce((SELECT level FROM l) * weight, (3 * words)::DOUBLE)) AS target FROM r),
-d AS (SELECT s.*, words, target, CASE WHEN words > 0 THEN least(floor(target / words + 1e-9), 3) ELSE 0 END::BIGINT AS whole,
+z AS (SELECT *, 8 + length(bin(size)) - 1 AS heft FROM s),
+c AS (SELECT z.source, heft, target, sum(size)::BIGINT AS words FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY z.source, heft, target),
+k AS (SELECT source, heft, (target - (3 * coalesce(sum(words) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE) / (sum(heft * words) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale
+  FROM c WINDOW v AS (PARTITION BY source ORDER BY heft DESC)),
+x AS (SELECT source, max_by(scale, heft) AS scale FROM k WHERE scale * heft <= 3 GROUP BY source),
+d AS (SELECT z.*, words, target, CASE WHEN size > 0 THEN coalesce(least(3.0::DOUBLE, scale * heft), 3.0::DOUBLE) ELSE 0 END AS rate,
     (('0x' || substr(md5('mix' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, CASE WHEN words > 0 THEN greatest(target / words - whole, 0.0) ELSE 0 END AS p, target - whole * words AS left_words FROM d),
-f AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank_key FROM e),
-p0 AS (SELECT *, NULL::BIGINT AS b_id, CASE WHEN sum(size) OVER (PARTITION BY source ORDER BY rank_key, doc_id ROWS UNBOUNDED PRECEDING) <= left_words THEN 1 ELSE 0 END AS more
-  FROM f WHERE size > 0 AND rank_key IS NOT NULL AND left_words > 0){rounds}
-SELECT f.doc_id, f.size, f.words AS source_size, f.target, (CASE WHEN f.size > 0 THEN f.whole + coalesce(x.more, 0) ELSE 0 END * f.size)::BIGINT AS taken
-FROM f LEFT JOIN p{top_ups} x ON f.doc_id = x.doc_id
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON z.source IS NOT DISTINCT FROM x.source),
+e AS (SELECT *, least(floor(rate + 1e-9), 3)::BIGINT AS whole, greatest(rate - least(floor(rate + 1e-9), 3), 0.0::DOUBLE) AS p FROM d),
+f AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank_key, target - sum(whole * size) OVER (PARTITION BY source) AS left_words FROM e),
+p0 AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY source ORDER BY rank_key, doc_id ROWS UNBOUNDED PRECEDING) <= left_words THEN 1 ELSE 0 END AS more
+  FROM f WHERE rank_key IS NOT NULL AND left_words > 0)"""
+
+OP3_ROUND = """,
+g{k} AS (SELECT source, any_value(left_words) - sum(more * size) AS gap FROM p{k} GROUP BY source),
+b{k} AS (SELECT doc_id AS b_id FROM p{k} p JOIN g{k} g ON p.source IS NOT DISTINCT FROM g.source
+  WHERE more = 0 AND abs(gap - size) < abs(gap) AND ({last} OR size <= gap)
+  QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(gap - size), u, doc_id) = 1),
+p{n} AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT b_id FROM b{k}) THEN 1 ELSE more END AS more) FROM p{k})"""
+
+OP3_END = """
+SELECT f.doc_id, f.size, f.words AS source_size, f.target, (CASE WHEN f.size > 0 THEN f.whole + coalesce(p4.more, 0) ELSE 0 END * f.size)::BIGINT AS taken
+FROM f LEFT JOIN p4 ON f.doc_id = p4.doc_id
 """
 
+OP3 = OP3_BEGIN + "".join(OP3_ROUND.format(k=k, n=k + 1, last="true" if k == 3 else "false") for k in range(4)) + OP3_END
+
 
 OP5 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -151,10 +157,10 @@ def op9_sql() -> str:
     verdict = " ".join(f"WHEN {fits(e)} THEN '{v}'" for e, v in rules) + " " + " ".join(f"WHEN {fits(e)} THEN 'block'" for e in BLOCKED_HOSTS)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/]*(/.*)?$', 1) AS path FROM r)
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM r)
 SELECT page_id, host, path, CASE {which} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM p
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_source_mixing": op3_sql(), "op5_exact_top_k": OP5, "op9_url_filter": op9_sql()}
+    return {"op2_exact_dedup": OP2, "op3_source_mixing": OP3, "op5_exact_top_k": OP5, "op9_url_filter": op9_sql()}

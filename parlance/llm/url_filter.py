@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from parlance.llm.shared import LOWER, UPPER, stored
+from parlance.llm.shared import HOT_KEYS, LOWER, UPPER, skewed_join, stored
 
 BITS_PER_ENTRY = 16
 MAX_BYTES = 32 << 20
@@ -33,8 +33,8 @@ def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a URL."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     whole = F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^?#]*", 0)
-    host = F.translate(F.regexp_extract(whole, r"^[^/]*", 0), UPPER, LOWER)
-    return host, F.regexp_extract(whole, r"(?s)^[^/]*(/.*)?\z", 1)
+    host = F.regexp_extract(whole, r"^[^/]*", 0)
+    return F.translate(host, UPPER, LOWER), F.substring(whole, F.length(host) + 1, F.length(whole))
 
 
 def place(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     """One row per page: id, host, path, rule, verdict. `listed` has the columns entry, verdict and rule (boolean)."""
     spark = pages.sparkSession
     listed = stored(listed.groupBy("entry").agg(F.max_by("verdict", F.col("rule").cast("int")).alias("verdict"), F.max("rule").alias("is_rule")))
-    path_of = F.regexp_extract("entry", r"(?s)^[^/]*(/.*)\z", 1)
+    path_of = F.substring("entry", F.greatest(F.instr("entry", "/"), F.lit(1)), F.length("entry"))
     lengths = [r[0] for r in listed.select(F.length(path_of).alias("n")).distinct().orderBy("n").collect()]  # at most the longest path's length
     sent = spark.sparkContext.broadcast(bloom(listed))
 
@@ -83,10 +83,12 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     asked = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    urls = rows.where("host <> '' AND path <> ''").select("host", "path").distinct()
+    urls = stored(rows.where("host <> '' AND path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
+    total = urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hits = urls.select("host", "path", F.explode(asked).alias("entry")).where(may_be_listed(F.xxhash64("entry")))
     exact = hits.join(listed, "entry")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("entry", "verdict", "is_rule"), F.struct("is_rule", F.length("entry"))).alias("b"))
-    out = rows.join(best, ["host", "path"], "left")
+    best = stored(best.join(urls, ["host", "path"]))
+    out = skewed_join(rows, best, ["host", "path"], F.col("n") > total // HOT_KEYS, "left")
     rule = F.when(F.col("b.is_rule"), F.col("b.entry"))
     return out.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
