@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bucket_count, numbered, stored
+from parlance.llm.shared import HOT_KEYS, bit_table, bucket_count, numbered, skewed_join, stored, with_hit
 
 
 def unit(*cols: Column) -> Column:
@@ -44,8 +44,8 @@ def propagate(linked: DataFrame, quota: int, shards: int, at_round: int, buckets
     asks = numbered(asks, ["target"], spread, ["text_key", "shard"], buckets, "ask", add="n")
     free = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in room]), F.col("target") + 1)
     asks = asks.withColumn("share", F.greatest(F.lit(0), F.least(F.col("n"), free - F.col("ask_sum"))) / F.col("n")).where("share > 0")
-    moves = asks.select(F.col("text_key").alias("m_key"), F.col("shard").alias("m_shard"), "target", "share")
-    out = linked.join(moves, (linked["text_key"] == moves["m_key"]) & (linked["shard"] == moves["m_shard"]), "left")
+    moves = stored(asks.select("text_key", "shard", "target", "share", "n"))
+    out = skewed_join(linked, moves, ["text_key", "shard"], F.col("n") > sum(used.values()) // HOT_KEYS, "left")
     goes = F.coalesce(unit(F.col("id"), F.col("h"), F.lit(at_round)) < F.col("share"), F.lit(False))
     return stored(out.select("id", "text_key", "h", "size", "crc", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")))
 
@@ -57,9 +57,11 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(rows.withColumn("h", F.xxhash64("id", "text_key")).withColumn("shard", F.pmod(F.xxhash64("id", "text_key", F.lit("start")), F.lit(shards)).cast("int")))
     total = rows.count()
     quota, buckets = -(-total // shards), bucket_count(total)
-    shared_texts = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
-    linked = stored(rows.join(shared_texts, "text_key", "left_semi"))
-    alone = rows.join(shared_texts, "text_key", "left_anti").withColumn("linked", F.lit(False))
+    # Rows that a bounded filter of the linked texts rules out stay where they are; the others meet the linked texts.
+    shared_texts = stored(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marked = with_hit(rows, "text_key", bit_table(shared_texts, "text_key", shared_texts.count()), "linked")
+    met = stored(skewed_join(marked.where("linked"), shared_texts, ["text_key"], F.col("n") > total // HOT_KEYS, "left").withColumn("linked", F.col("n").isNotNull()).drop("n"))
+    linked, alone = met.where("linked").drop("linked"), marked.where("NOT linked").unionByName(met.where("NOT linked"))
     for k in range(rounds):
         linked = propagate(linked, quota, shards, k, buckets)
     every = stored(alone.unionByName(linked.withColumn("linked", F.lit(True))))
