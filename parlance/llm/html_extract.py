@@ -6,7 +6,11 @@ punctuation gives each block a cost for either label; the costs are the capaciti
 the DOM. A maximum flow separates them: blocks that the source still reaches are the main text.
 The flow is Dinic's with explicit stacks, linear in memory and, on such nearly linear graphs, in time.
 
-The classifier's weights are fixed parameters (`Weights`), not trained: the corpus has no labelled pages.
+The classifier's weights are fixed parameters (`Weights`), not trained: the corpus has no labelled pages. Evidence and edges are on
+one scale: what names a part of a page (nav, footer, class=sidebar) outweighs any neighbourhood, also for a long sentence inside an
+article, while words, punctuation and links are weak enough for the neighbours to overrule: a short line between paragraphs stays with
+them, a long advert without a telling name goes with the lists of links around it. If the cut leaves nothing of a page, the blocks
+that the classifier alone takes for content are its text (a lone paragraph between menus).
 
 Defined results: null or blank html gives an empty text; markup that never closes is closed at its parent's end; references
 without a semicolon are decoded as browsers do; br is white space inside a block; ids and urls may be null or repeat, each row is
@@ -63,17 +67,18 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Weights:
     """Log-odds of content. Positive speaks for content."""
 
-    bad_part: float = -12.0
-    good_part: float = 4.0
-    good_name: float = 1.0
+    prior: float = -1.0
+    bad_part: float = -7.5
+    good_part: float = 3.0
+    good_name: float = 1.5
     links: float = -5.0
     per_word: float = 0.1
-    most_words: float = 3.0
+    most_words: float = 2.0
     short: float = -1.0
-    sentence: float = 1.0
+    sentence: float = 0.5
     heading: float = 0.5
-    rights: float = -3.0
-    near: float = 2.0
+    rights: float = -1.5
+    near: float = 3.5
     siblings: float = 0.5
     scale: int = 1000
 
@@ -117,7 +122,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
             while k and stack[k][0] not in BLOCK:
                 k -= 1
             n, words = len(text), text.count(" ") + 1
-            score = stack[-1][1] + weights.links * min(1.0, linked / n) + min(weights.most_words, weights.per_word * words)
+            score = weights.prior + stack[-1][1] + weights.links * min(1.0, linked / n) + min(weights.most_words, weights.per_word * words)
             score += (weights.short if words < 4 else 0) + (weights.sentence if text[-1] in ".!?…:;\"»”" else 0) + (weights.heading if heading else 0)
             if "©" in text or "all rights reserved" in text.lower():
                 score += weights.rights
@@ -268,11 +273,8 @@ def source_side(capacity: list[int], edges: list[tuple[int, int, int]]) -> list[
                     break
 
 
-def main_text(page: str | None, weights: Weights = Weights()) -> str:
-    """The main text of one page."""
-    found = blocks(page or "", weights)
-    if not found:
-        return ""
+def labels(found: list[tuple[str, float, int, int]], weights: Weights = Weights()) -> list[bool]:
+    """Which blocks are content: the minimum cut between the classifier's costs and the ties of neighbours."""
     edges, last = [], {}
     for k, (_, _, parent, steps) in enumerate(found):
         if k:
@@ -282,7 +284,13 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:
             edges.append((before, k, int(weights.scale * weights.siblings)))
         last[parent] = k
     keep = source_side([int(weights.scale * score) for _, score, _, _ in found], edges)
-    return "\n".join(text for (text, _, _, _), k in zip(found, keep) if k)
+    return keep if any(keep) else [score > 0 for _, score, _, _ in found]
+
+
+def main_text(page: str | None, weights: Weights = Weights()) -> str:
+    """The main text of one page."""
+    found = blocks(page or "", weights)
+    return "\n".join(text for (text, _, _, _), k in zip(found, labels(found, weights)) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights = Weights()) -> DataFrame:
