@@ -10,7 +10,7 @@ new match, so a piece's ids don't depend on its neighbours and may be kept in a
 
 Defined results: null counts as empty, which has no ids; special tokens don't exist, their strings are ordinary text; ids may
 be null or repeat, each row is worked on by itself; an empty table gives no rows; other columns pass through `encode` unless
-they have the name of a result, in which case the result replaces them.
+they have the name of a result (in any case of letters) or `__in`: the result replaces the former, the latter is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from __future__ import annotations
 import base64
 import gc
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern for which `cut` is right. With any other, texts aren't cut up.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps in each of two generations; about 25 MB each.
-KEPT = 120_000
+#: Pieces that a worker keeps in each of two generations; about 15 MB each.
+KEPT = 80_000
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 TWO_SPACES = re.compile(r"\s\s")
 #: Characters of texts that are cut up at once; bounds the memory of a worker.
-AT_ONCE = 2_500_000
+AT_ONCE = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,14 +96,14 @@ class Pairs:
     """Rank of the concatenation of two tokens, for arrays of pairs: open addressing over every split of every token."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        found = {}
+        found, values = array("q"), array("i")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    found[a << 32 | b] = rank
-        keys = np.fromiter(found, np.int64, len(found))
-        values = np.fromiter(found.values(), np.int32, len(found))
+                    found.append(a << 32 | b)
+                    values.append(rank)
+        keys, values = np.array(found, np.int64), np.array(values, np.int32)
         self.bits = max(4, (4 * len(keys)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         at = self.home(keys)
@@ -301,64 +303,35 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool = True, at_once: int = AT_ONCE) -> list[bytes]:
-    """Ids of each text from those of its pieces. `new_pieces` gives the ids of pieces that `kept` doesn't have."""
-    out: list[bytes] = []
-    k = 0
-    collect = gc.isenabled()
-    gc.disable()  # long lists without cycles: looking through them again and again finds nothing
-    while k < len(texts):
-        got, holes, firsts, missing, size = [], [], [], set(), 0
-        known = kept.young.get
-        while k < len(texts) and size < at_once:
-            text = texts[k]
-            pieces = (cut(text) if cuts else [text]) if text else [""]
-            firsts.append(pieces[0])
-            ids = list(map(known, pieces))
-            ids[0] = b""
-            open_ = [n for n, x in enumerate(ids) if x is None]
-            absent = [pieces[n] for n in open_]
-            missing.update(absent)
-            got.append(ids)
-            holes.append((open_, absent))
-            size += len(text or "")
-            k += 1
-        # Pieces are kept without the space in front; they are looked up as they stand in the text.
-        new = {p: kept.old[p] for p in missing if p in kept.old}
-        missing.difference_update(new)
-        whole = [p if p[0] == "\n" else f" {p}" for p in missing]
-        fresh = new_pieces([*whole, *{p for p in firsts if p}])
-        new.update(zip(missing, map(fresh.__getitem__, whole)))
-        for first, ids, (open_, absent) in zip(firsts, got, holes):
-            for n, p in zip(open_, absent):
-                ids[n] = new[p]
-            if first:
-                ids[0] = fresh[first]
-            out.append(b"".join(ids))
-        kept.add(new)
-    if collect:
-        gc.enable()
-    return out
+@dataclass
+class Cut:
+    """Texts cut into pieces: each piece's place in `words`, the pieces of each text, and the texts in the order of the pieces."""
 
+    words: pa.Array
+    code: np.ndarray
+    sizes: np.ndarray
+    ends: np.ndarray
+    heads: np.ndarray
+    order: list[int]
+    odd: list[int]
 
-def encode_columns(texts: list[str | None], kept: Kept, new_pieces, at_once: int = AT_ONCE) -> list[bytes]:
-    """As `encode_pieces` for texts that may be cut, but a piece costs Python work once a slice of texts, not once an occurrence."""
-    out: list[bytes] = [b""] * len(texts)
-    rows: list[int] = []
-    size = 0
+
+def in_slices(texts: list[str | None], at_once: int, without: set[int] = frozenset()) -> Iterator[list[int]]:
+    """Numbers of texts that aren't empty, in slices of about `at_once` characters."""
+    rows, size = [], 0
     for k, text in enumerate(texts):
-        if text:
+        if text and k not in without:
             rows.append(k)
             size += len(text)
             if size >= at_once:
-                encode_slice(texts, rows, out, kept, new_pieces)
+                yield rows
                 rows, size = [], 0
     if rows:
-        encode_slice(texts, rows, out, kept, new_pieces)
-    return out
+        yield rows
 
 
-def encode_slice(texts: list[str | None], rows: list[int], out: list[bytes], kept: Kept, new_pieces) -> None:
+def cut_up(texts: list[str], rows: list[int]) -> Cut:
+    """Cut texts that aren't empty. Arrow finds the distinct pieces, so a piece costs Python work once and not once an occurrence."""
     odd = [k for k in rows if TWO_SPACES.search(texts[k]) or texts[k][0].isspace() or texts[k][-1].isspace()]
     seen = set(odd)
     plain = [k for k in rows if k not in seen]
@@ -367,12 +340,28 @@ def encode_slice(texts: list[str | None], rows: list[int], out: list[bytes], kep
     flat = pa.chunked_array([lists.flatten().cast(pa.large_string()), pa.array([p for found in cuts for p in found], pa.large_string())])
     sizes = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.fromiter(map(len, cuts), np.int64, len(cuts))]).astype(np.int64)
     coded = flat.combine_chunks().dictionary_encode()
-    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    ends = np.cumsum(sizes)
-    heads = code[ends - sizes]
+    code, ends = coded.indices.to_numpy().astype(np.int64), np.cumsum(sizes)
+    return Cut(coded.dictionary, code, sizes, ends, code[ends - sizes], [*plain, *odd], odd)
+
+
+def spell(cut_: Cut, code: np.ndarray, tokens: np.ndarray, lens: np.ndarray, out: list[bytes]) -> None:
+    """The ids of each text from those of its pieces: `tokens` one behind the other, `lens` of each, `code` which are wanted."""
+    starts, long = np.cumsum(lens) - lens, lens[code]
+    stops = np.cumsum(long)
+    raw = tokens[np.repeat(starts[code] - (stops - long), long) + np.arange(stops[-1])].tobytes()
+    bounds = (4 * np.append(0, stops[cut_.ends - 1])).tolist()
+    for k, a, b in zip(cut_.order, bounds, bounds[1:]):
+        out[k] = raw[a:b]
+
+
+def encode_slice(texts: list[str], rows: list[int], out: list[bytes], kept: Kept, new_pieces) -> None:
+    """Ids of each text from those of its pieces. `new_pieces` gives the ids of pieces that `kept` doesn't have."""
+    cut_ = cut_up(texts, rows)
+    words, heads, n = cut_.words.to_pylist(), cut_.heads, len(cut_.words)
     # Pieces stand for themselves behind a space, but for the first of a text, which is a word of its own here.
-    inner = np.bincount(code, minlength=len(words)) > np.bincount(heads, minlength=len(words))
-    ids = [(kept.young.get(w) or kept.old.get(w)) if used else b"" for w, used in zip(words, inner.tolist())]
+    inner = np.bincount(cut_.code, minlength=n) > np.bincount(heads, minlength=n)
+    young, old = kept.young.get, kept.old.get
+    ids = [(young(w) or old(w)) if used else b"" for w, used in zip(words, inner.tolist())]
     missing = [n for n, x in enumerate(ids) if x is None]
     whole = [w if w[0] == "\n" else f" {w}" for w in (words[n] for n in missing)]
     first, at_first = np.unique(heads, return_inverse=True)
@@ -381,16 +370,27 @@ def encode_slice(texts: list[str | None], rows: list[int], out: list[bytes], kep
     for n, w in zip(missing, whole):
         ids[n] = fresh[w]
     kept.add({words[n]: ids[n] for n in missing})
+    code = cut_.code
+    code[cut_.ends - cut_.sizes] = len(words) + at_first
     ids += [fresh[w] for w in firsts]
-    code[ends - sizes] = len(words) + at_first
-    tokens = np.frombuffer(b"".join(ids), "<u4")
-    lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    starts, long = np.cumsum(lens) - lens, lens[code]
-    stops = np.cumsum(long)
-    raw = tokens[np.repeat(starts[code] - (stops - long), long) + np.arange(stops[-1])].tobytes()
-    bounds = (4 * np.append(0, stops[ends - 1])).tolist()
-    for k, a, b in zip([*plain, *odd], bounds, bounds[1:]):
-        out[k] = raw[a:b]
+    spell(cut_, code, np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out)
+
+
+def encode_pieces(texts: list[str | None], kept: Kept, new_pieces, cuts: bool = True, at_once: int = AT_ONCE) -> list[bytes]:
+    """Ids of each text; texts that may not be cut up are one piece."""
+    out: list[bytes] = [b""] * len(texts)
+    collect = gc.isenabled()
+    gc.disable()  # long lists without cycles: looking through them again and again finds nothing
+    for rows in in_slices(texts, at_once):
+        if cuts:
+            encode_slice(texts, rows, out, kept, new_pieces)
+        else:
+            found = new_pieces(list({texts[k] for k in rows}))
+            for k in rows:
+                out[k] = found[texts[k]]
+    if collect:
+        gc.enable()
+    return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

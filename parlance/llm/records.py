@@ -15,6 +15,8 @@ records, ordered by their text's bytes; an empty table gives an empty manifest;
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -22,11 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import Kept, common, encode_columns, slices
+from parlance.llm.bpe import cut_up, in_slices, slices, spell
 from parlance.llm.shared import shared_dir, stored
 
 #: Fixed value: what masking adds.
@@ -35,8 +38,8 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 #: Bytes that a reader has in memory, besides the frame that it is in.
 CHUNK = 4 << 20
-#: Pieces that a worker keeps in each of two generations, and characters that it encodes at once; about 500 MB together.
-KEPT, AT_ONCE = 400_000, 12_000_000
+#: Characters that a worker encodes at once.
+AT_ONCE = 12_000_000
 MANIFEST = "part int, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -162,63 +165,83 @@ def read_at(path: str, folder: str, number: int) -> tuple[int | None, bytes]:
 
 
 _tokenizers: dict = {}
+#: Pieces that a token beginning with a space or line end starts, and no other token of theirs does.
+REGULAR = re.compile(r"\n?\S+")
 
 
-def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Encode with the tokenizers library, adding no special tokens (those that a text holds are their ids); a worker keeps the ids of pieces that it has seen."""
+def library_encoder(path: str, at_once: int = AT_ONCE) -> Callable[[list[str | None]], list[bytes]]:
+    """Encode with the tokenizers library, adding no special tokens (those that a text holds are their ids).
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+    The library is asked once for each distinct piece of a slice of texts. Pieces are sent as running text, in which a token
+    that begins with a space or a line end begins a piece; pieces with other white space inside are sent by themselves.
+    """
 
+    def load() -> tuple:
         if path not in _tokenizers:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+            from tokenizers import Tokenizer
+
             made = Tokenizer.from_file(path)
-            spaced = np.zeros(made.get_vocab_size() + 1, bool)
-            spaced[[n for token, n in made.get_vocab().items() if token[0] == "\u0120"]] = True  # how the file writes a space
-            added = [x.content for x in made.get_added_tokens_decoder().values()]
-            _tokenizers[path] = made, Kept(KEPT), spaced, added
-        tokenizer, kept, spaced, added = _tokenizers[path]
-
-        def ask(words: list[str]) -> dict[str, bytes]:
-            """Ids of words by themselves."""
-            asked = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, asked)}
-
-        def ask_spaced(words: list[str]) -> dict[str, bytes]:
-            """Ids of words of letters behind a space: sent as running text, where only a word's first token starts with a space."""
-            lines = [" " + " ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            cuts = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
-            raw = ids.astype("<u4").tobytes()
-            return dict(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-
-        def new_pieces(pieces: list[str]) -> dict[str, bytes]:
-            # Most pieces are letters behind a space, or these and one mark; they share the words without marks.
-            plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-            marked = [p for p in pieces if p[-1] in ",." and p[0] == " " and p[1:-1].isalpha()]
-            done = {*plain, *marked}
-            others = [(p, common(p) or (p,)) for p in pieces if p not in done]
-            bases = {p[1:-1] for p in marked}
-            known = {w: ids for w in bases if (ids := kept.young.get(w) or kept.old.get(w)) is not None}
-            bases.difference_update(known)
-            bases.update([p[1:] for p in plain])
-            if bases:
-                known.update(ask_spaced(list(bases)))
-            parts = {w for _, found in others for w in found} | {p[-1] for p in marked}
-            single = ask(list(parts)) if parts else {}
-            out = {p: known[p[1:]] for p in plain}
-            out.update((p, known[p[1:-1]] + single[p[-1]]) for p in marked)
-            out.update((p, b"".join([single[w] for w in found])) for p, found in others)
-            return out
+            begins = np.zeros(made.get_vocab_size() + 1, bool)
+            begins[[n for token, n in made.get_vocab().items() if token[0] in "\u0120\u010a"]] = True  # how the file writes a space and a line end
+            _tokenizers[path] = made, begins, [x.content for x in made.get_added_tokens_decoder().values()]
+        return _tokenizers[path]
+
+    def ids_of(asked: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in load()[0].encode_batch_fast(asked, add_special_tokens=False)]
+
+    def running(pieces: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of regular pieces one behind the other, and how many each has."""
+        begins, n = load()[1], len(pieces)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lines = pa.LargeListArray.from_arrays(pa.array([*range(0, n, 1000), n], pa.int64()), pieces).cast(pa.large_list(pa.string()))
+        ids = np.concatenate(ids_of([between + x for x in pc.binary_join(lines, between).to_pylist()]))
+        starts = np.flatnonzero(begins[ids])
+        if len(starts) != n:
+            raise ValueError("the vocabulary splits pieces otherwise than expected")
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def encode_some(texts: list[str], rows: list[int], out: list[bytes]) -> None:
+        cut_ = cut_up(texts, rows)
+        words, heads = cut_.words, cut_.heads
+        regular = np.ones(len(words), bool)
+        if cut_.odd:  # only these texts have pieces with white space inside
+            regular = np.array([bool(REGULAR.fullmatch(w)) for w in words.to_pylist()], bool)
+        line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False) & regular
+        parts, sizes, place = [], [], np.zeros(len(words), np.int64)
+        done = 0
+        for mask, between in ((regular & ~line, " "), (line, "")):
+            at = np.flatnonzero(mask)
+            ids, n = running(words.take(pa.array(at)), between)
+            place[at] = np.arange(done, done + len(at))
+            parts.append(ids)
+            sizes.append(n)
+            done += len(at)
+        at = np.flatnonzero(~regular)
+        alone = ids_of([w if w[0] == "\n" else f" {w}" for w in words.take(pa.array(at)).to_pylist()])
+        place[at] = np.arange(done, done + len(at))
+        done += len(at)
+        # A text's first piece has no space in front. Behind a line end it has the same ids, and the line end is one token more.
+        first, at_first = np.unique(heads, return_inverse=True)
+        found = words.take(pa.array(first)).to_pylist()
+        fine = [bool(REGULAR.fullmatch(w)) and w[0] != "\n" for w in found]
+        asked = ids_of([f"\n{w}" if ok else w for w, ok in zip(found, fine)])
+        parts += [*alone, *(x[1:] if ok else x for x, ok in zip(asked, fine))]
+        sizes.append(np.fromiter((len(x) for x in parts[2:]), np.int64, len(parts) - 2))
+        code = place[cut_.code]
+        code[cut_.ends - cut_.sizes] = done + at_first
+        spell(cut_, code, np.concatenate(parts), np.concatenate(sizes), out)
 
+    def encode(texts: list[str | None]) -> list[bytes]:
+        added = load()[2]
+        out = [b""] * len(texts)
         # White space before an added token is cut otherwise than before a word: such texts go to the library whole.
-        special = [k for k, text in enumerate(texts) if text and any(x in text for x in added)]
-        at = set(special)
-        out = encode_columns([None if k in at else text for k, text in enumerate(texts)] if at else texts, kept, new_pieces, AT_ONCE)
-        for k in special:
-            out[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        whole = {k for k, text in enumerate(texts) if text and any(x in text for x in added)}
+        for k in whole:
+            out[k] = ids_of([texts[k]])[0].tobytes()
+        for rows in in_slices(texts, at_once, whole):
+            encode_some(texts, rows, out)
         return out
 
     return encode

@@ -197,11 +197,25 @@ def test_urls(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
 
 
-def test_pieces_of_texts_by_column_and_one_by_one():
+def test_pieces_of_texts():
     random.seed(9)
     parts = ["a", "bc", "The", "é", "中", "12", "!!", " ", " ", " ", "\n", "\t", "  ", ",", "."]
     texts = [None, "", " ", "\n", "a", *("".join(random.choice(parts) for _ in range(random.randint(1, 60))) for _ in range(2000))]
     spell = lambda pieces: {p: b"".join(struct.pack("<I", ord(c)) for c in p) for p in pieces}
     for size in (1, 700, 10**6):
-        assert bpe.encode_columns(texts, bpe.Kept(50), spell, size) == [(t or "").encode("utf-32-le") for t in texts]
-        assert bpe.encode_pieces(texts, bpe.Kept(50), spell, at_once=size) == [(t or "").encode("utf-32-le") for t in texts]
+        assert bpe.encode_pieces(texts, bpe.Kept(50), spell, True, size) == [(t or "").encode("utf-32-le") for t in texts]
+        assert bpe.encode_pieces(texts, bpe.Kept(50), spell, False, size) == [(t or "").encode("utf-32-le") for t in texts]
+
+
+def test_records_encoder_equals_the_library_on_awkward_texts():
+    from tokenizers import Tokenizer
+
+    random.seed(12)
+    path = P.path("byte_bpe_50k.json")
+    parts = ["a", "b", " ", " ", "  ", "\n", "\n\n", "'s", "'", "\x1c", "é", "中", "12", "!!", "\t", "😀", " \n", "<|endoftext|>", "word,", " The", "\u00a0", "\u2028", "\u0120", "\r\n", "\x85"]
+    texts = [None, "", " ", "\n", "ab" * 20000, "word " * 30000, *("".join(random.choice(parts) for _ in range(random.randint(0, 40))) for _ in range(6000))]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (50, 10**7):
+        got = records.library_encoder(path, size)(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
