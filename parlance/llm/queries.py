@@ -37,12 +37,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from parlance.llm.bpe import decode, encode
+    from parlance.llm.bpe import encode
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
-    back = decode(ids.withColumn("ids_sha256", F.sha2("ids", 256)), path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return back
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, round_trip=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
