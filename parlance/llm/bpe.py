@@ -418,12 +418,13 @@ def per_row(df: DataFrame, column: str, result: str, work) -> DataFrame:
     """`df` with `work(values) -> arrays` of the named result columns added batch by batch; same-named columns are replaced."""
     added = [x.split()[0] for x in result.split(", ")]
     passed = [c for c in df.columns if c.lower() not in {a.lower() for a in added} and c != "__in"]
-    rows = df.select(F.col(f"`{column}`").alias("__in"), *[F.col(f"`{c}`") for c in passed])
+    source = column if column in passed else "__in"
+    rows = df.select(*[F.col(f"`{c}`") for c in passed], *([] if column in passed else [F.col(f"`{column}`").alias("__in")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__in"):
-                arrays = work(batch.column("__in").to_pylist())
+            for batch in slices(whole, source):
+                arrays = work(batch.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *arrays], names=[*passed, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__in")

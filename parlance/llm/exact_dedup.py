@@ -42,16 +42,19 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, list[int]]:
     depth = max(0, (-(-total // capacity) - 1).bit_length()) if total else 0
     left, found, depths = keys, None, []
     while True:
-        counts = stored(left.groupBy(prefix("key", depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.lit(depth)))
+        seen = left.groupBy(prefix("key", depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("key").bitwiseXOR(F.max("key")).alias("differ"))
+        counts = stored(seen.withColumn("depth", F.lit(depth)))
         full = counts.where(F.col("n") > capacity)
-        last = depth == 64 or not full.limit(1).count()
+        # Doublings in which every overfull bucket's keys still share the next bit would split nothing: go to the first that does.
+        shared = full.agg(F.min(F.lit(64) - F.length(F.bin("differ")))).first()[0]
+        last = depth == 64 or shared is None
         fits = (counts if last else counts.where(F.col("n") <= capacity)).select("depth", "prefix")
         found = fits if found is None else found.unionByName(fits)
         depths.append(depth)
         if last:
             return found, depths
         left = left.withColumn("prefix", prefix("key", depth)).join(F.broadcast(full.select("prefix")), "prefix", "left_semi").select("key")
-        depth += 1
+        depth = max(depth, shared) + 1
 
 
 def with_bucket(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:

@@ -76,7 +76,7 @@ class Weights:
     most_words: float = 2.0
     short: float = -1.0
     sentence: float = 0.5
-    heading: float = 0.5
+    heading: float = 1.5
     rights: float = -1.5
     near: float = 3.5
     siblings: float = 0.5

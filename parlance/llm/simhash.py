@@ -159,10 +159,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = named.select("fp", "root").join(head, "root").select("fp", "component_id")
     out = prints.join(label, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; documents without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

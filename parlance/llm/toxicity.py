@@ -9,8 +9,9 @@ tasks as it has `rows_per_learner` rows; each runs several passes over its part,
 that aren't zero (2**bits at most) come to the driver and are broadcast. All documents are scored, over their whole text.
 
 Defined results: null and empty texts have the bias as their only feature; a document with several labels counts as toxic if one says
-so; a null label is no label; with no labelled row at all every score is 0.5 less the smallest step (0.4999), so nothing is rejected; ids may be
-null or repeat, each row is scored by itself; an empty table gives no rows; other columns of the input are not read.
+so; a null label is no label; a null id counts as held out; with no labelled row at all every score is 0.5 less the smallest step (0.4999), so nothing is rejected; ids may be
+null or repeat, each row is scored by itself; an empty table gives no rows; other columns aren't
+read, and pass through `drop_toxic` unless they are called `__score` or `__in`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.bpe import per_row
 from parlance.llm.shared import stored
 
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…-*_"
@@ -152,27 +154,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return found["place"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = Ftrl.bits, threshold: float = 0.5) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted."""
+def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, text_col: str = "text", bits: int = Ftrl.bits) -> DataFrame:
+    """The rows with the score of their text as the column `name`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    table: list[tuple[np.ndarray, float, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, found = sent.value
-        weights = np.zeros((1 << bits) + 1, np.float32)
-        weights[places] = found
-        bias = float(found[places == 1 << bits].sum()) if len(places) else -4e-4
-        used = weights != 0
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                hits = [x[used[x]] for x in features(text, bits)]
-                out[k] = bias + (float(weights[np.unique(np.concatenate(hits))].sum(dtype=float)) if hits else 0.0)
-            out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out)], names=["id", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, score double")
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        if not table:
+            places, found = sent.value
+            weights = np.zeros((1 << bits) + 1, np.float32)
+            weights[places] = found
+            table.append((weights, float(found[places == 1 << bits].sum()) if len(places) else -4e-4, weights != 0))
+        weights, bias, used = table[0]
+        out = np.empty(len(texts))
+        for k, text in enumerate(texts):
+            hits = [x[used[x]] for x in features(text, bits)]
+            out[k] = bias + (float(weights[np.unique(np.concatenate(hits))].sum(dtype=float)) if hits else 0.0)
+        return [pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))]
+
+    return per_row(docs, text_col, f"{name} double", work)
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = Ftrl.bits, threshold: float = 0.5) -> DataFrame:
+    """One row per input row: id, held_out, score, predicted."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = with_score(rows, model, "score", "text", bits)
     return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -181,8 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, fit(docs, labels, id_col, text_col, params=params), id_col, text_col, params.bits)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Ftrl = Ftrl()) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
-    # Scores are joined by id only for the rejected, which are few; of rows that repeat an id all go if one is toxic.
-    gone = toxicity(docs, labels, id_col, text_col, params).where("predicted = 1").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Ftrl = Ftrl(), threshold: float = 0.5) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns; each row is judged by its own text, nothing is shuffled."""
+    scored = with_score(docs, fit(docs, labels, id_col, text_col, params=params), "__score", text_col, params.bits)
+    return scored.where(F.col("__score") < threshold).drop("__score")
