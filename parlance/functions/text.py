@@ -87,3 +87,44 @@ def nfkc(x: pd.Series) -> pd.Series:
 
 def evaluation_text(x: Column) -> Column:
     return F.regexp_replace(nfkc(x), r"[。、！？,.!?]|\s+", "")
+
+
+def collection_name(job_id: Column) -> Column:
+    """What an index is called: the first eight characters of its job's id."""
+    return F.substring(job_id.cast("string"), 1, 8)
+
+
+def minutes_tenths(seconds: Column) -> Column:
+    """M:SS.s, and a dash for nothing."""
+    tenths = F.bround(seconds * 10, 0).cast("bigint")
+    text = F.format_string("%d:%02d.%d", F.floor(tenths / 600), F.floor(tenths % 600 / 10), tenths % 10)
+    return F.when(seconds.isNull() | (seconds == 0), F.lit("—")).otherwise(text)
+
+
+def iso_utc(ts: Column) -> Column:
+    """ISO 8601 in UTC with the offset spelt out; the session's time zone has to be UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def minute_stamp(ts: Column) -> Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit("—"))
+
+
+def extensions(listed: Column) -> Column:
+    """A comma-separated list of extensions as an array, lower-cased and each with its dot."""
+    parts = F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return F.transform(parts, lambda x: F.when(F.startswith(x, F.lit(".")), x).otherwise(F.concat(F.lit("."), x)))
+
+
+def cache_key(model: Column, path: Column, extra: dict[str, Column] | None = None) -> Column:
+    """SHA-256 of model, a bar, path, and the parameters as JSON with sorted keys."""
+    parts = [model, F.lit("|"), path]
+    if extra:
+        pairs = [F.concat(F.lit(f'"{k}": '), F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)) for k, v in sorted(extra.items())]
+        parts += [F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def json_or_empty(x: Column, schema: str) -> Column:
+    """A JSON array, or an empty one where the text is null or broken."""
+    return F.coalesce(F.from_json(F.when(F.try_parse_json(x).isNotNull(), x), schema), F.from_json(F.lit("[]"), schema))

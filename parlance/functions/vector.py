@@ -14,8 +14,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; one that is shorter than 1e-9 stays as it is."""
+    return F.transform(a.cast("array<double>"), lambda x: x / F.when(norm(a) > 1e-9, norm(a)).otherwise(1.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0 where a vector has no length."""
+    size = norm(a) * norm(b)
+    return F.when(size > 0, dot(a, b) / F.nullif(size, F.lit(0.0))).otherwise(F.when(size.isNotNull(), F.lit(0.0)))
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:

@@ -38,7 +38,7 @@ def merge_runs(aligned: DataFrame, max_gap: float = 0.5) -> DataFrame:
     by = Window.partitionBy("job_id").orderBy("ord")
     same = (F.lag("speaker").over(by) == F.col("speaker")) & (F.col("start") - F.lag("end").over(by) <= max_gap)
     rows = aligned.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(by) - 1)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
     joined = F.aggregate(texts, F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit(" "), x)))
     return rows.groupBy("job_id", "run").agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.first("speaker").alias("speaker"), joined.alias("text"))
 

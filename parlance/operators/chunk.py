@@ -33,21 +33,22 @@ def normalise(raw: DataFrame) -> DataFrame:
 def chunk_job(pdf: pd.DataFrame, chunk_tokens: int, overlap: int) -> pd.DataFrame:
     """Chunks of one job's normalised rows."""
     limit, carry = max(1, chunk_tokens), max(0, min(overlap, chunk_tokens // 2))
-    rows = pdf.sort_values("pos").reset_index(drop=True)
-    size = [max(1, len(t) // 4) for t in rows["text"]]
+    pdf = pdf.sort_values("pos")
+    idx, body, speakers, starts, ends = (pdf[c].tolist() for c in ("idx", "text", "speaker", "start", "end"))
+    size = [max(1, len(x) // 4) for x in body]
+    job_id = pdf["job_id"].iloc[0]
     out: list[tuple] = []
     texts: list[str] = []
     held: list[int] = []
     tokens, speaker, start, end = 0, None, 0.0, 0.0
 
     def emit() -> None:
-        who = {rows.at[i, "speaker"] for i in held}
-        out.append((rows.at[0, "job_id"], len(out), " ".join(texts), speaker if len(who) == 1 else "multiple", start, end, list(held), [int(rows.at[i, "idx"]) for i in held]))
+        who = {speakers[i] for i in held}
+        out.append((job_id, len(out), " ".join(texts), speaker if len(who) == 1 else "multiple", start, end, list(held), [int(idx[i]) for i in held]))
 
-    for i in range(len(rows)):
-        row = rows.loc[i]
+    for i, (text, who) in enumerate(zip(body, speakers)):
         full = tokens + size[i] > limit
-        turn = row["speaker"] != speaker and tokens >= limit // 2
+        turn = who != speaker and tokens >= limit // 2
         if held and (full or turn):
             emit()
             kept: list[int] = []
@@ -55,18 +56,17 @@ def chunk_job(pdf: pd.DataFrame, chunk_tokens: int, overlap: int) -> pd.DataFram
             for j in reversed(held):  # at least one row is carried over, whatever its size
                 if kept and total + size[j] > carry:
                     break
-                kept.insert(0, j)
+                kept.append(j)
                 total += size[j]
-            held, tokens, speaker = kept, total, row["speaker"]
-            texts = [rows.at[j, "text"] for j in kept]
-            start, end = rows.at[kept[0], "start"], rows.at[kept[-1], "end"]
+            held, tokens, speaker = kept[::-1], total, who
+            texts = [body[j] for j in held]
+            start, end = starts[held[0]], ends[held[-1]]
         if not held:
-            start, speaker = row["start"], row["speaker"] if speaker is None else speaker
-        named = row["speaker"] and row["speaker"].lower() != "unknown"
-        texts.append(f"{row['speaker']}: {row['text']}" if named else row["text"])
+            start, speaker = starts[i], who if speaker is None else speaker
+        texts.append(f"{who}: {text}" if who and who.lower() != "unknown" else text)
         held.append(i)
         tokens += size[i]
-        end = row["end"]
+        end = ends[i]
     if held:
         emit()
     return pd.DataFrame(out, columns=["job_id", "chunk_id", "text", "speaker", "start", "end", "positions", "segment_ids"])
@@ -106,8 +106,8 @@ def group_by_size(segments: DataFrame, most: int = 3000) -> DataFrame:
         return pd.DataFrame({"job_id": pdf["job_id"], "idx": pdf["idx"], "group": out})
 
     rows = segments.select("job_id", "idx", "text")
-    kind = rows.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").applyInPandas(fold, f"job_id {kind}, idx bigint, group bigint")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("job_id", "idx")}
+    return rows.groupBy("job_id").applyInPandas(fold, f"job_id {kinds['job_id']}, idx {kinds['idx']}, group bigint")
 
 
 def with_tokens(segments: DataFrame) -> DataFrame:

@@ -77,3 +77,20 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     """The published version."""
     fact = json.loads(spark.read.text(f"{root}/CURRENT.json").first()[0])
     return spark.read.parquet(f"{root}/{fact['version']}")
+
+
+#: The order of the levels in an index's hash.
+ORDER = ("document", "segment", "chunk")
+
+
+def index_hash(docs: DataFrame, model: str) -> DataFrame:
+    """(job_id, hash): SHA-256 over the texts of all levels, in their order, and the model's name, so that another model makes an index stale."""
+    level = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("level"))
+    text = ordered_join(F.col("text"), F.struct(level.alias("l"), F.col("pos").alias("p")), "")
+    return docs.groupBy("job_id").agg(F.sha2(F.concat(text, F.lit(model)), 256).alias("hash"))
+
+
+def level_counts(docs: DataFrame) -> DataFrame:
+    """(job_id, chunks): rows of the chunk level, or all rows of a job without any."""
+    n = F.count_if(F.col("level") == "chunk")
+    return docs.groupBy("job_id").agg(F.when(n > 0, n).otherwise(F.count(F.lit(1))).alias("chunks"))

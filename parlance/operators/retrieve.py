@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.vector import cosine, distance, relevance_pct
+from parlance.functions.text import strip
+from parlance.functions.vector import cosine, distance, dot, norm, relevance_pct
 
-#: Queries that are sent whole to every task at once; more are joined without the hint.
-MOST_BROADCAST = 10_000
+#: Bytes of query vectors that are sent whole to every task at once.
+BLOCK_BYTES = 32 << 20
 
 
 def with_level_fallback(docs: DataFrame, level: str | None) -> DataFrame:
@@ -24,13 +25,24 @@ def with_level_fallback(docs: DataFrame, level: str | None) -> DataFrame:
 def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank, id, distance, relevance): the k nearest rows of `docs` (id, embedding) to each of `queries` (query_id, q).
 
-    The queries are a stated, small set that goes to the data; each task keeps k rows a query before anything is shuffled.
-    """
-    n = queries.limit(MOST_BROADCAST + 1).count()
-    asked = F.broadcast(queries) if n <= MOST_BROADCAST else queries
-    pairs = docs.select(F.col(id_col).alias("id"), "embedding").join(asked).withColumn("distance", distance(F.col("q"), F.col("embedding"), metric))
+    The queries are a stated set that goes to the data in blocks of at most BLOCK_BYTES; each task keeps k rows a query before
+    anything is shuffled. Norms are taken once a vector and not once a pair. A vector without length is at distance 1."""
+    facts = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("width")).first()
+    blocks = max(1, -(-facts["n"] * 8 * (facts["width"] or 1) // BLOCK_BYTES))
+    rows = docs.select(F.col(id_col).alias("id"), "embedding", norm(F.col("embedding")).alias("d_norm"))
+    asked = queries.select("query_id", "q", norm(F.col("q")).alias("q_norm"))
+    pairs = None
+    for n in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        met = rows.join(F.broadcast(block))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if metric == "cosine":
+        size = F.col("q_norm") * F.col("d_norm")
+        far = 1 - F.when(size > 0, dot(F.col("q"), F.col("embedding")) / F.nullif(size, F.lit(0.0))).otherwise(F.when(size.isNotNull(), F.lit(0.0)))
+    else:
+        far = distance(F.col("q"), F.col("embedding"), metric)
     # Rounding makes ties total: equal up to the last bits counts as equal.
-    pairs = pairs.select("query_id", "id", F.round("distance", 9).alias("distance"))
+    pairs = pairs.select("query_id", "id", F.round(far, 9).alias("distance"))
     by = Window.partitionBy("query_id").orderBy("distance", "id")
     out = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), relevance_pct(F.col("distance")).alias("relevance"))
@@ -46,12 +58,12 @@ def level_limits(queries: DataFrame, k: int = 4, chunk_context: int = 6) -> Data
 
 
 def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[int]:
-    """Maximal marginal relevance: near to the query, far from what is chosen; the lowest place wins ties."""
+    """Maximal marginal relevance: near to the query, far from what is chosen; the lowest place wins ties (to nine decimals)."""
     unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
     near = unit @ (query / (np.linalg.norm(query) + 1e-9))
     left, chosen, closest = np.ones(len(unit), bool), [], np.zeros(len(unit))
     for n in range(min(k, len(unit))):
-        score = np.where(left, weight * near - (1 - weight) * (closest if n else 0), -np.inf)
+        score = np.where(left, np.round(weight * near - (1 - weight) * (closest if n else 0), 9), -np.inf)
         best = int(score.argmax())
         chosen.append(best)
         left[best] = False
@@ -67,11 +79,27 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         order = mmr_order(np.array(pdf.at[0, "q"], float), np.stack(pdf["embedding"]).astype(float), k, weight)
         return pd.DataFrame({"query_id": pdf.at[0, "query_id"], "rank": range(1, len(order) + 1), "pos": pdf["pos"].to_numpy()[order]})
 
-    return candidates.select("query_id", "pos", "q", "embedding").groupBy("query_id").applyInPandas(run, "query_id bigint, rank bigint, pos bigint")
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "pos")}
+    return candidates.select("query_id", "pos", "q", "embedding").groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, rank bigint, pos {kinds['pos']}")
+
+
+def rerank(candidates: DataFrame, k: int, use_mmr: bool = True) -> DataFrame:
+    """(query_id, rank, pos) from (query_id, pos, q, embedding): diverse selection where a query has more than k candidates, else the order of similarity."""
+    rows = candidates.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    few = rows.where(F.col("n") <= k) if use_mmr else rows
+    by = Window.partitionBy("query_id").orderBy(F.round(cosine(F.col("q"), F.col("embedding")), 9).desc(), "pos")
+    ranked = few.select("query_id", F.row_number().over(by).cast("bigint").alias("rank"), "pos").where(F.col("rank") <= k)
+    return ranked.unionByName(mmr(rows.where(F.col("n") > k), k)) if use_mmr else ranked
 
 
 def select_sources(candidates: DataFrame, threshold: float = 0.30, most: int = 5, fallback: int = 2) -> DataFrame:
-    """Of (query_id, pos, answer, embedding) the rows as near to the answer as `threshold`, or the nearest `fallback` if none is."""
+    """Of (query_id, pos, answer, embedding) the rows as near to the answer as `threshold`, or the nearest `fallback` if none is.
+
+    With a column answer_text, a query whose text is blank keeps all its rows in their order, without a percentage."""
+    if "answer_text" in candidates.columns:
+        blank = F.coalesce(strip(F.col("answer_text")), F.lit("")) == ""
+        same = candidates.where(blank).select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).cast("bigint").alias("rank"), "pos", F.lit(None).cast("bigint").alias("answer_relevance_pct"))
+        return same.unionByName(select_sources(candidates.where(~blank).drop("answer_text"), threshold, most, fallback))
     rows = candidates.withColumn("sim", F.round(cosine(F.col("answer"), F.col("embedding")), 9))
     by = Window.partitionBy("query_id")
     rows = rows.withColumn("rank", F.row_number().over(by.orderBy(F.col("sim").desc(), "pos"))).withColumn("any", F.max(F.col("sim") >= threshold).over(by))
@@ -85,3 +113,20 @@ def context(rows: DataFrame) -> DataFrame:
     line = F.format_string("[%s %s %s-%s] %s", "audio_file", "speaker", F.col("start").cast("string"), F.col("end").cast("string"), "text")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
     return rows.groupBy("query_id").agg(F.array_join(ordered, "\n\n---\n\n").alias("context"))
+
+
+def source_columns(text: Column) -> list[Column]:
+    """A source's text and its preview."""
+    return [text.alias("text"), F.substring(text, 1, 200).alias("preview")]
+
+
+def prompt(question: Column, context_text: Column, starred: Column, reference: Column) -> Column:
+    """What a model is asked: starred answers (an array) and reference text, if there are any, before the context and the question."""
+    stars = F.when(F.size(F.coalesce(starred, F.array())) > 0, F.concat(F.lit("[STARRED ANSWERS]\n"), F.array_join(starred, "\n---\n"), F.lit("\n\n"))).otherwise(F.lit(""))
+    refers = F.when(F.coalesce(reference, F.lit("")) != "", F.concat(F.lit("[REFERENCE CONTEXT]\n"), reference, F.lit("\n\n"))).otherwise(F.lit(""))
+    return F.concat(stars, refers, F.coalesce(context_text, F.lit("")), F.lit("\n\n[QUESTION]\n"), question)
+
+
+def answer_to_match(answer: Column, stopped: Column, most: int = 1000) -> Column:
+    """The text that sources are matched with: of a stopped answer only its beginning."""
+    return strip(F.when(stopped, F.substring(answer, 1, most)).otherwise(answer))

@@ -22,6 +22,30 @@ def absolute_time(value: Column, base: Column) -> Column:
     return F.when((base != 0) & relative, value + base).otherwise(value)
 
 
+def safe_chunk_seconds(nominal: Column, bytes_per_second: Column, max_bytes: int) -> Column:
+    """Seconds of a window that stays below a size: at least one, at most `nominal`, which holds where the rate isn't known."""
+    rate = bytes_per_second * 0.8
+    return F.when(rate > 0, F.greatest(F.lit(1.0), F.least(nominal, F.greatest(F.lit(1.0), F.floor(max_bytes / rate).cast("double"))))).otherwise(nominal)
+
+
+PART = "array<struct<start:double,end:double,text:string,transcript:string,timestamp:array<double>,time:array<double>>>"
+
+
+def window_segments(results: DataFrame) -> DataFrame:
+    """(job_id, n, ord, start, end, text) in the recording's time, of windows (job_id, n, start, segments, raw).
+
+    `segments` and `raw` are JSON. Without segments, raw counts: its segments, its chunks (with timestamp pairs), its text as one
+    segment, or raw itself if it is a list."""
+    raw = F.col("raw")
+    within = lambda name: F.get_json_object(raw, f"$.{name}")
+    is_list = F.startswith(F.trim(raw), F.lit("["))
+    text = F.to_json(F.array(F.struct(F.lit(0.0).alias("start"), within("text").alias("text"))))
+    listed = F.coalesce(F.when(F.col("segments") != "[]", F.col("segments")), within("segments"), within("chunks"), F.when(within("text").isNotNull(), text), F.when(is_list, raw))
+    rows = results.select("job_id", "n", F.coalesce("start", F.lit(0.0)).alias("base"), F.posexplode(F.from_json(listed, PART)).alias("ord", "s"))
+    time = lambda name, k: absolute_time(F.coalesce(F.col(f"s.{name}"), F.get("s.timestamp", F.lit(k)), F.get("s.time", F.lit(k))), F.col("base"))
+    return rows.select("job_id", "n", F.col("ord").cast("bigint").alias("ord"), time("start", 0).alias("start"), time("end", 1).alias("end"), F.coalesce(F.nullif("s.text", F.lit("")), "s.transcript", F.lit("")).alias("text"))
+
+
 def snap(edges: DataFrame, tolerance: float) -> DataFrame:
     """Window edges moved to silence: `points` is a sorted array; a start takes the first point, an end the last, within reach."""
     start, end = F.col("start"), F.col("end")

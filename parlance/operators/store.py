@@ -20,6 +20,96 @@ def rename_speaker(segments: DataFrame, job_id: object, old: str, new: str) -> D
     return segments.withColumn("speaker", F.when(hit, F.lit(new)).otherwise(F.col("speaker")))
 
 
+def rename_count(segments: DataFrame, job_id: object, old: str) -> DataFrame:
+    """One row: how many segments `rename_speaker` changes."""
+    return segments.agg(F.count_if((F.col("job_id") == F.lit(job_id)) & (F.col("speaker") == old)).alias("renamed"))
+
+
+def segment_rows(segments: DataFrame) -> DataFrame:
+    """Segments (job_id, ord, start, end, speaker, text) as stored: numbered from 0, times 0, speaker UNKNOWN and text empty where they are missing."""
+    by = Window.partitionBy("job_id").orderBy("ord")
+    return segments.select(
+        "job_id", (F.row_number().over(by) - 1).alias("idx"), F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", F.lit(0.0)).alias("end"),
+        F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
+def update_rows(stored: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Point updates: what `edits` has for a key, where it isn't null; a key has one edit at most, keys that aren't stored are ignored."""
+    changed = [c for c in edits.columns if c not in keys]
+    out = stored.join(edits.select(*keys, *[F.col(c).alias(f"__{c}") for c in changed]), keys, "left")
+    return out.select(*[F.coalesce(f"__{c}", c).alias(c) if c in changed else F.col(c) for c in stored.columns])
+
+
+def by_key(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The row of a primary or unique key; on a table partitioned by the key only its partition is read."""
+    return rows.where(F.col(column) == F.lit(value)).limit(1)
+
+
+def owned(rows: DataFrame, jobs: DataFrame, user_id: object) -> DataFrame:
+    """Rows of jobs (job_id, user_id) that belong to a user; others aren't found."""
+    return rows.join(jobs.where(F.col("user_id") == F.lit(user_id)).select("job_id"), "job_id", "left_semi")
+
+
+def delete_history(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages without those of `sessions` (session_id), and how many went (session_id, deleted); the sessions stay."""
+    gone = messages.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+    return messages.join(sessions.select("session_id").distinct(), "session_id", "left_anti"), gone.groupBy("session_id").agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def new_messages(messages: DataFrame) -> DataFrame:
+    """Chat messages (session_id, id, role, content, sources, status) as stored: completed unless they say so, empty sources null."""
+    sources = F.when(F.coalesce("sources", F.lit("")).isin("", "[]"), None).otherwise(F.col("sources"))
+    return messages.withColumn("status", F.coalesce("status", F.lit("completed"))).withColumn("sources", sources)
+
+
+def new_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs (job_id, user_id, filename) as stored: pending, without progress, in their first version."""
+    return jobs.withColumns({"status": F.lit("pending"), "progress": F.lit(0.0), "error": F.lit(None).cast("string"), "logs": F.lit("[]"), "transcript_version": F.lit(1)})
+
+
+def restart_jobs(tables: dict[str, DataFrame], chosen: DataFrame) -> dict[str, DataFrame]:
+    """jobs and segments after a restart of `chosen` (job_id): failed and cancelled ones are pending again and lose their segments."""
+    from parlance.functions.status import restartable
+
+    again = tables["jobs"].join(chosen.select("job_id").distinct(), "job_id", "left_semi").where(restartable(F.col("status"))).select("job_id", F.lit(True).alias("__again"))
+    jobs = tables["jobs"].join(again, "job_id", "left")
+    reset = {"status": F.lit("pending"), "progress": F.lit(0.0), "error": F.lit(None).cast("string"), "logs": F.lit("[]")}
+    jobs = jobs.withColumns({c: F.when(F.col("__again"), v).otherwise(F.col(c)) for c, v in reset.items()}).drop("__again")
+    return {"jobs": jobs, "segments": tables["segments"].join(again.select("job_id"), "job_id", "left_anti")}
+
+
+def message_rows(messages: DataFrame, source: str) -> DataFrame:
+    """Messages as they are shown: sources decoded (broken ones empty), status completed unless they say so."""
+    from parlance.functions.text import json_or_empty
+
+    return messages.withColumn("sources", json_or_empty(F.col("sources"), source)).withColumn("status", F.coalesce(F.nullif("status", F.lit("")), F.lit("completed")))
+
+
+def settings_by_group(settings: DataFrame) -> DataFrame:
+    """(group, settings) of rows (group, key, value), keys in order."""
+    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+    return settings.groupBy("group").agg(F.map_from_entries(pairs).alias("settings"), F.array_join(F.transform(pairs, lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("listed"))
+
+
+def job_counters(jobs: DataFrame) -> DataFrame:
+    """One row: jobs that failed, that completed, that wait, and that run, and the oldest start of a running one."""
+    s = F.col("status")
+    running = s.isin("transcribing", "diarizing", "aligning", "indexing", "reindexing")
+    counts = {"failed": s == "failed", "completed": s == "completed", "queued": s == "pending", "running": running}
+    return jobs.agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.min(F.when(running, F.col("started_at"))).alias("running_since"))
+
+
+def languages(results: DataFrame) -> DataFrame:
+    """(job_id, languages): distinct, in the order in which the results (job_id, ord, inferred_languages, languages, language) name them.
+
+    A result's first filled field counts: the two lists, then the single language."""
+    listed = F.when(F.size(F.coalesce("inferred_languages", F.array())) > 0, F.col("inferred_languages")).when(F.size(F.coalesce("languages", F.array())) > 0, F.col("languages")).otherwise(F.array("language"))
+    rows = results.select("job_id", "ord", F.posexplode(listed).alias("at", "name")).where("name <> ''")
+    first = rows.groupBy("job_id", "name").agg(F.min(F.struct("ord", "at")).alias("seen"))
+    return first.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "name"))), lambda x: x["name"]).alias("languages"))
+
+
 def replace_jobs(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Idempotent replacement of whole jobs."""
     return stored.join(new.select("job_id").distinct(), "job_id", "left_anti").unionByName(new)
@@ -85,10 +175,10 @@ def unique_names(wanted: DataFrame, taken: DataFrame, longest: int = 60) -> Data
     """(id, name): the wanted name, or the first of name_1, name_2, … that is free. `taken` has the column name."""
     base = wanted.select("id", F.substring("name", 1, longest).alias("base"))
     used = taken.select(F.regexp_replace("name", r"_\d+$", "").alias("base"), F.coalesce(F.nullif(F.regexp_extract("name", r"_(\d+)$", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("n")).unionByName(taken.select(F.col("name").alias("base"), F.lit(0).cast("bigint").alias("n"))).distinct()
-    numbers = used.groupBy("base").agg(F.collect_set("n").alias("used"))
-    rows = base.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("id")))
-    most = rows.groupBy("base").agg(F.max("k").cast("bigint").alias("most"))
-    free = most.join(numbers, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<bigint>")))
-    free = free.select("base", F.slice(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.col("most") + F.size("used")), F.col("used")), 1, F.col("most").cast("int")).alias("free"))
-    out = rows.join(free, "base").withColumn("n", F.element_at("free", F.col("k")))
+    rows = base.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("id")).cast("bigint"))
+    most = rows.groupBy("base").agg(F.max("k").alias("most"))
+    taken_n = used.groupBy("base").agg(F.count(F.lit(1)).alias("used"))
+    span = most.join(taken_n, "base", "left").select("base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") + F.coalesce("used", F.lit(0)))).alias("n"))
+    free = span.join(used, ["base", "n"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("n")).cast("bigint"))
+    out = rows.join(free, ["base", "k"])
     return out.select("id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("name"))

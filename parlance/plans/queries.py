@@ -1,60 +1,15 @@
-"""Queries over the test tables, one for each operator, with the SQL that DuckDB runs for comparison.
-
-The tables stand in for the library's own: conversations are transcripts (times follow from text lengths), events are speaker
-intervals, progress, login and rate-limit streams, embeddings are index vectors, customer, orders and lineitem are users, jobs and records.
-"""
+"""Queries over the test tables, one for each operator, with the SQL that DuckDB runs for comparison."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import intent, status, text, vector
 from parlance.operators import align, chunk, evaluate, index, retrieve, stitch, store, tree
+from parlance.plans.registry import IVL, QUERIES, SEG, SQL, intervals, query, segments, t
 from parlance.sources import transcripts
 from parlance.streaming import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(job_id, idx, speaker, text, start, end) from conversations."""
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t(spark, sf_dir, "conversations").withColumn("end", F.sum(F.length("text")).over(by) / F.lit(15.0))
-    return rows.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text", F.lag("end", 1, 0.0).over(by).alias("start"), "end")
-
-
-SEG = """seg0 AS (SELECT *, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::DOUBLE / 15.0::DOUBLE AS e FROM conversations),
-seg AS (SELECT conv_id AS job_id, turn AS idx, role AS speaker, text, coalesce(lag(e) OVER (PARTITION BY conv_id ORDER BY turn), 0.0) AS s, e FROM seg0)"""
-
-
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(job_id, ord, start, end, speaker): events of a user as speaker intervals within the hour."""
-    rows = t(spark, sf_dir, "events").where(F.col("value").isNotNull())
-    at = F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(300)).cast("double")
-    return rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ord"), at.alias("start"), (at + F.pmod("event_id", F.lit(7))).alias("end"), F.col("event_type").alias("speaker"))
-
-
-IVL = "ivl AS (SELECT user_id AS job_id, event_id AS ord, (floor(epoch(ts))::BIGINT % 300)::DOUBLE AS s, (floor(epoch(ts))::BIGINT % 300)::DOUBLE + event_id % 7 AS e, event_type AS speaker FROM events WHERE value IS NOT NULL)"
-
-
 # --- functions ---
 
 
@@ -88,7 +43,7 @@ QUESTION = "CASE item_id % 6 WHEN 0 THEN 'Give me a short summary of ' WHEN 1 TH
 @query(f"""SELECT item_id, CASE WHEN regexp_matches(q, '(?i){RE["d"]}') THEN 'document' WHEN regexp_matches(q, '(?i){RE["s"]}') THEN 'segment' ELSE 'chunk' END AS level,
 {" OR ".join(f"contains(lower(q), '{w}')" for w in intent.SUMMARY)} AS is_summary FROM (SELECT item_id, trim({QUESTION}) AS q FROM benchmark)""")
 def intent_levels(spark, d):
-    q = F.expr(QUESTION.replace("||", "||"))
+    q = F.expr(QUESTION)
     return t(spark, d, "benchmark").select("item_id", intent.detect_intent(q).alias("level"), intent.is_summary(q).alias("is_summary"))
 
 
@@ -164,7 +119,11 @@ def audio_windows(spark, d):
     return stitch.windows(segments(spark, d).groupBy("job_id").agg(F.max("end").alias("duration")), 30.0, 5.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, n AS (SELECT job_id, idx AS ord, s - CASE WHEN idx % 2 = 1 THEN 2.0 ELSE 0.0 END AS a, e AS b, text, row_number() OVER (PARTITION BY job_id ORDER BY s - CASE WHEN idx % 2 = 1 THEN 2.0 ELSE 0.0 END, idx) AS pos FROM seg),
+r AS (SELECT job_id, ord, a, b, text, pos, 0 AS g, b AS prev FROM n WHERE pos = 1
+UNION ALL SELECT job_id, ord, a2, b, text, pos, CASE WHEN b <= a2 THEN g ELSE g + 1 END, CASE WHEN b <= a2 THEN prev ELSE b END
+  FROM (SELECT n.*, r.g, r.prev, CASE WHEN n.a < r.prev - 0.25 THEN r.prev ELSE n.a END AS a2 FROM r JOIN n ON n.job_id = r.job_id AND n.pos = r.pos + 1))
+SELECT job_id, arg_min(ord, pos) AS ord, arg_min(a, pos) AS "start", arg_min(b, pos) AS "end", CASE WHEN count(*) = 1 THEN any_value(text) ELSE trim(string_agg(text, ' ' ORDER BY pos)) END AS text FROM r GROUP BY job_id, g""")
 def stitch_overlaps(spark, d):
     rows = segments(spark, d).select("job_id", F.col("idx").alias("ord"), (F.col("start") - F.when(F.col("idx") % 2 == 1, F.lit(2.0)).otherwise(0.0)).alias("start"), "end", "text")
     return stitch.stitch(rows)
@@ -181,10 +140,20 @@ def silence_snap(spark, d):
 # --- segments, chunks and index rows ---
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, n0 AS (SELECT job_id, idx, trim(text) AS text, speaker, s, e, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS pos, greatest(1, length(trim(text)) // 4) AS size FROM seg WHERE trim(text) <> ''),
+n AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY job_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n0),
+b AS (SELECT x.job_id, x.pos, x.speaker, x.size, x.before, coalesce(min(y.pos) FILTER (x.before - y.before <= 50), x.pos - 1) AS back, coalesce(min(y.before) FILTER (x.before - y.before <= 50), max(y.before)) AS back_before
+  FROM n x LEFT JOIN n y ON x.job_id = y.job_id AND y.pos < x.pos GROUP BY x.job_id, x.pos, x.speaker, x.size, x.before),
+r AS (SELECT job_id, pos, 0 AS first, 0::HUGEINT AS first_before, 0 AS fresh, 0 AS chunk, speaker AS who FROM b WHERE pos = 0
+UNION ALL SELECT job_id, pos, CASE WHEN cut THEN start ELSE first END, CASE WHEN cut THEN greatest(first_before, back_before) ELSE first_before END, CASE WHEN cut THEN pos ELSE fresh END, CASE WHEN cut THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN speaker ELSE who END
+  FROM (SELECT b.*, r.first, r.first_before, r.fresh, r.chunk, r.who, greatest(r.first, b.back) AS start, b.before - r.first_before + b.size > 300 OR (b.speaker <> r.who AND b.before - r.first_before >= 150) AS cut FROM r JOIN b ON b.job_id = r.job_id AND b.pos = r.pos + 1) z),
+c AS (SELECT job_id, chunk, any_value(first) AS first, any_value(fresh) AS fresh, any_value(who) AS who, max(pos) AS last FROM r GROUP BY job_id, chunk)
+SELECT c.job_id::VARCHAR AS job_id, chunk::INTEGER AS chunk_id, string_agg(CASE WHEN n.pos >= fresh THEN speaker || ': ' || text ELSE text END, ' ' ORDER BY n.pos) AS text, CASE WHEN count(DISTINCT speaker) = 1 THEN any_value(who) ELSE 'multiple' END AS speaker,
+arg_min(s, n.pos) AS "start", arg_max(e, n.pos) AS "end", string_agg(n.pos::VARCHAR, ',' ORDER BY n.pos) AS positions, string_agg(n.idx::VARCHAR, ',' ORDER BY n.pos) AS segment_ids FROM c JOIN n ON n.job_id = c.job_id AND n.pos BETWEEN first AND last GROUP BY c.job_id, chunk""")
 def chunker(spark, d):
     rows = segments(spark, d).select("job_id", "idx", "text", "speaker", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
-    return chunk.chunk(chunk.normalise(rows))
+    out = chunk.chunk(chunk.normalise(rows))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("positions", "segment_ids")})
 
 
 @query(f"""WITH {SEG}, n AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN 0 ELSE 1 END AS new FROM (SELECT job_id, idx, CASE WHEN idx % 3 = 0 THEN 'A' ELSE 'B' END AS speaker FROM seg) WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
@@ -201,7 +170,10 @@ def topic_blocks(spark, d):
     return chunk.blocks(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, n AS (SELECT job_id, idx, length(text) AS len, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS pos FROM seg),
+r AS (SELECT job_id, idx, pos, len AS used, 0::BIGINT AS g FROM n WHERE pos = 1
+UNION ALL SELECT n.job_id, n.idx, n.pos, CASE WHEN r.used > 0 AND r.used + n.len > 1500 THEN n.len ELSE r.used + n.len END, CASE WHEN r.used > 0 AND r.used + n.len > 1500 THEN r.g + 1 ELSE r.g END FROM r JOIN n ON n.job_id = r.job_id AND n.pos = r.pos + 1)
+SELECT job_id, idx, g AS "group" FROM r""")
 def size_bounded_groups(spark, d):
     return chunk.group_by_size(segments(spark, d), 1500)
 
@@ -276,7 +248,20 @@ def level_adaptive_limits(spark, d):
     return retrieve.level_limits(rows).select("o_orderkey", "recall_n", "context_n")
 
 
-@query()
+MMR_STEP = """,
+c{n} AS (SELECT c.query_id, c.pos, c.u, c.near, greatest(c.closest, list_inner_product(c.u, p.u)) AS closest FROM c{m} c JOIN p{m} p USING (query_id) WHERE c.pos <> p.pos),
+p{n} AS (SELECT query_id, pos, u, {n} AS rank FROM c{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * near - (1 - 0.7::DOUBLE) * closest, 9) DESC, pos) = 1)"""
+MMR = (
+    f"""WITH {VEC}, w AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9::DOUBLE)) AS u FROM v),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.u, list_inner_product(q.u, c.u) AS near, round({COS}, 9) AS distance FROM w q, w c WHERE q.vec_id % 100 = 0),
+c1 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS pos, u, near, '-infinity'::DOUBLE AS closest FROM d QUALIFY pos < 50),
+p1 AS (SELECT query_id, pos, u, 1 AS rank FROM c1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * near, 9) DESC, pos) = 1)"""
+    + "".join(MMR_STEP.format(n=n, m=n - 1) for n in range(2, 7))
+    + " UNION ALL ".join((" " if n == 1 else "") + f"SELECT query_id, rank::BIGINT AS rank, pos FROM p{n}" for n in range(1, 7))
+)
+
+
+@query(MMR)
 def mmr_select(spark, d):
     rows = t(spark, d, "embeddings")
     recalled = retrieve.knn(rows, asked(spark, d), 50)
@@ -324,12 +309,25 @@ def tree_outline(spark, d):
     return tree.outline(tree.build(segments(spark, d), 3))
 
 
-@query()
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {NODES}, c AS (SELECT n.job_id, node_id, topic, sub, string_agg(speaker || ' [' || {HMS.format("floor(s)")} || '-' || {HMS.format("floor(e)")} || ']: ' || text, E'\\n' ORDER BY idx) AS content
+  FROM nodes n JOIN seg s ON n.job_id = s.job_id AND idx BETWEEN a AND b GROUP BY ALL),
+sc AS (SELECT c.job_id, node_id, topic, sub, content, len(list_intersect({WORDS.format("q.text")}, {WORDS.format("content")})) AS score FROM c JOIN seg q ON c.job_id = q.job_id AND q.idx = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, topic, sub) AS ord FROM sc WHERE score > 0),
+one AS (SELECT job_id, node_id, ord AS place FROM o WHERE ord <= 2),
+extra AS (SELECT job_id, node_id, 3 AS place FROM c WHERE node_id = 'T0' AND job_id IN (SELECT job_id FROM one) AND (job_id, node_id) NOT IN (SELECT job_id, node_id FROM one)),
+two AS (SELECT job_id, node_id, 3 + row_number() OVER (PARTITION BY job_id ORDER BY ord) AS place FROM o WHERE (job_id, node_id) NOT IN (SELECT job_id, node_id FROM one UNION ALL SELECT job_id, node_id FROM extra) QUALIFY place <= 5)
+SELECT job_id AS query_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY place) AS rank, node_id, sha256(content) AS digest FROM (FROM one UNION ALL FROM extra UNION ALL FROM two) JOIN c USING (job_id, node_id)""")
 def tree_search(spark, d):
+    """Two rounds: two nodes, which don't suffice and bring T0 with them, then two more."""
     rows = segments(spark, d)
     nodes = tree.build(rows, 3).join(tree.content_map(tree.build(rows, 3), rows), ["job_id", "node_id"])
     asked_ = rows.where("idx = 0").select(F.col("job_id").alias("query_id"), "job_id", F.col("text").alias("question"))
-    return tree.search(nodes, asked_)
+    check = lambda q: q.select("query_id", (F.size("chosen") >= 3).alias("sufficient"), F.array(F.lit("T0"), F.lit("nowhere")).alias("node_ids"))
+    found = tree.iterative_search(asked_, nodes, tree.overlap_select(nodes, 2), check)
+    return found.select("query_id", "job_id", "rank", "node_id", F.sha2("text", 256).alias("digest"))
 
 
 # --- the store ---
@@ -462,15 +460,24 @@ def latest_progress(spark, d):
     return ev.latest_progress(rows).withColumn("logs", F.concat(F.lit("["), F.array_join("logs", ", "), F.lit("]")))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),
+r AS (SELECT user_id, event_id, pos, 0::BIGINT AS out, 0::BIGINT AS flush, 1 AS held, us AS since FROM n WHERE pos = 1
+UNION ALL SELECT n.user_id, n.event_id, n.pos, r.flush, CASE WHEN r.held + 1 >= 128 OR n.us - r.since >= 1000000 THEN r.flush + 1 ELSE r.flush END, CASE WHEN r.held + 1 >= 128 OR n.us - r.since >= 1000000 THEN 0 ELSE r.held + 1 END,
+  CASE WHEN r.held + 1 >= 128 OR n.us - r.since >= 1000000 THEN n.us ELSE r.since END FROM r JOIN n ON n.user_id = r.user_id AND n.pos = r.pos + 1)
+SELECT user_id AS message_id, event_id AS seq, out AS flush FROM r""")
 def token_flush(spark, d):
     return ev.token_flushes(t(spark, d, "events").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), "ts"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS tm, event_id % 7 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS pos FROM events),
+z AS (SELECT user_id, 0::DOUBLE AS tm, 0::BIGINT AS pos, 0::BIGINT AS count, 0::DOUBLE AS until, '' AS outcome FROM (SELECT DISTINCT user_id FROM events)),
+r AS (SELECT * FROM z UNION ALL SELECT n.user_id, n.tm, n.pos, CASE WHEN n.tm < r.until THEN r.count WHEN n.ok THEN 0 ELSE r.count + 1 END,
+  CASE WHEN n.tm < r.until THEN r.until WHEN n.ok THEN 0 WHEN r.count + 1 >= 10 THEN n.tm + 3600 WHEN r.count + 1 >= 5 THEN n.tm + 900 ELSE r.until END,
+  CASE WHEN n.tm < r.until THEN 'rejected' WHEN n.ok THEN 'ok' WHEN r.count + 1 >= 5 THEN 'locked' ELSE 'failed' END FROM r JOIN n ON n.user_id = r.user_id AND n.pos = r.pos + 1)
+SELECT user_id, tm AS ts, outcome, count AS failures FROM r WHERE pos > 0""")
 def login_lockout(spark, d):
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
-    return ev.login_outcomes(t(spark, d, "events").select("user_id", at.alias("ts"), (F.col("event_id") % 7 == 0).alias("success")))
+    return ev.login_outcomes(t(spark, d, "events").select("user_id", at.alias("ts"), F.col("event_id").alias("seq"), (F.col("event_id") % 7 == 0).alias("success")))
 
 
 @query("SELECT user_id, epoch(ts)::BIGINT::DOUBLE AS ts, coalesce(epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT) >= 60, true) AS allowed FROM (SELECT DISTINCT user_id, date_trunc('second', ts) AS ts FROM events)")

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.status import downloadable
+
 SEGMENT = "struct<start:string,end:string,text:string,transcript:string,chunk_text:string,speaker:string,spk:string,speaker_label:string,timestamp:array<double>,timestamps:array<double>>"
+#: Fixed value: how a text names its speaker.
 PREFIX = r"^\s*([A-Za-z0-9_\-\s]{1,40}):\s*(.*)$"
 
 
+def must_parse(value: Column, file: Column) -> Column:
+    """The text, or an error that names the file if it isn't JSON."""
+    return F.when(F.try_parse_json(value).isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), file)).cast("string"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, idx, fields…) of files that hold an array of segments or an object with `segments`; job_id is the file's stem."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    """(job_id, idx, fields…) of files that hold an array of segments or an object with `segments`; job_id is the file's stem.
+
+    A file that doesn't parse is an error, an empty one has no segments."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).where("value <> ''")
+    raw = raw.withColumn("value", must_parse(F.col("value"), F.col("file")))
     listed = F.from_json("value", f"array<{SEGMENT}>")
     held = F.from_json("value", f"struct<segments:array<{SEGMENT}>>")["segments"]
     segments = F.when(F.startswith("value", F.lit("[")), listed).otherwise(held)
@@ -19,6 +30,44 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("job_id", "idx", "s.*")
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """(file, idx, doc) of files that begin with a bracket (one JSON array or object each) or else hold a document a line.
+
+    `doc` is the JSON text of each element. Empty files have none; what doesn't parse is an error, as are lines of objects in a file that begins with one."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).where("value <> ''")
+    whole = F.startswith("value", F.lit("[")) | F.startswith("value", F.lit("{"))
+    one = raw.where(whole).withColumn("value", must_parse(F.col("value"), F.col("file")))
+    parts = F.when(F.startswith("value", F.lit("[")), F.variant_get(F.parse_json("value"), "$", "array<variant>")).otherwise(F.array(F.parse_json("value")))
+    one = one.select("file", F.posexplode(parts).alias("idx", "v")).select("file", "idx", F.to_json("v").alias("doc"))
+    lines = raw.where(~whole).select("file", F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("idx", "doc"))
+    return one.unionByName(lines.withColumn("doc", must_parse(F.col("doc"), F.col("file"))))
+
+
+def read_trees(spark: SparkSession, trees: str, contents: str) -> DataFrame:
+    """(job_id, tree, contents) of tree files and the content maps beside them (by stem); a missing map is an empty one."""
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]*?)(_content_map)?(\.[^./]*)?$", 1)
+    read = lambda path, name: spark.read.text(path, wholetext=True).select(stem.alias("job_id"), F.col("value").alias(name))
+    return read(trees, "tree").join(read(contents, "contents"), "job_id", "left").withColumn("contents", F.coalesce("contents", F.lit("{}")))
+
+
+def write_cache(results: DataFrame, path: str) -> None:
+    """Results (key, value) by key; a value that isn't JSON is kept as raw text."""
+    kept = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.to_json(F.struct(F.col("value").alias("raw_text"))))
+    results.select("key", kept.alias("value")).write.mode("append").parquet(path)
+
+
+def cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """`wanted` (key, ...) with the cached value, null where there is none or it is broken: such a row is a miss and made again."""
+    good = cache.where(F.try_parse_json("value").isNotNull()).groupBy("key").agg(F.max("value").alias("value"))
+    return wanted.join(good, "key", "left")
+
+
+def stage_outputs(jobs: DataFrame) -> DataFrame:
+    """(job_id, name, json) of what a job's stages left (job_id, status, transcription, diarization, aligned), as far as it may be downloaded."""
+    files = F.create_map(*[x for n in ("transcription", "diarization", "aligned") for x in (F.lit(n), F.col(n))])
+    return jobs.where(downloadable(F.col("status"))).select("job_id", F.explode(files).alias("name", "json")).where("json IS NOT NULL")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per line that isn't blank; a broken line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,6 +16,10 @@ from parlance.operators.store import tail
 LOCKS = ((10, 60), (5, 15))
 
 
+def kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def rate_limit(events: DataFrame, key: str, most: int, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(key, window start, n) with more than `most` events; works on streams, whose windows close at the watermark."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -49,7 +54,7 @@ def token_flushes(tokens: DataFrame, most: int = 128, after_s: float = 1.0) -> D
         return pd.DataFrame({"message_id": pdf["message_id"], "seq": pdf["seq"], "flush": out})
 
     rows = tokens.select("message_id", "seq", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("message_id").applyInPandas(fold, "message_id bigint, seq bigint, flush bigint")
+    return rows.groupBy("message_id").applyInPandas(fold, f"message_id {kind(rows, 'message_id')}, seq {kind(rows, 'seq')}, flush bigint")
 
 
 def lock_state(attempts: list[tuple], count: int, locked_until: float) -> tuple[int, float, list[tuple]]:
@@ -70,18 +75,19 @@ def lock_state(attempts: list[tuple], count: int, locked_until: float) -> tuple[
     return count, locked_until, out
 
 
-LOCK_ROWS = "user_id bigint, ts double, outcome string, failures bigint"
+LOCK_ROWS = "user_id {}, ts double, outcome string, failures bigint"
 
 
 def login_outcomes(attempts: DataFrame) -> DataFrame:
-    """(user_id, ts, outcome, failures) of attempts (user_id, ts in seconds, success); a batch."""
+    """(user_id, ts, outcome, failures) of attempts (user_id, ts in seconds, success); a batch. A column seq orders attempts of one second."""
+    order = [c for c in ("ts", "seq") if c in attempts.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
+        pdf = pdf.sort_values(order, kind="stable")
         _, _, rows = lock_state(list(zip(pdf["ts"], pdf["success"])), 0, 0.0)
         return pd.DataFrame([(pdf["user_id"].iloc[0], *r) for r in rows], columns=["user_id", "ts", "outcome", "failures"])
 
-    return attempts.select("user_id", "ts", "success").groupBy("user_id").applyInPandas(run, LOCK_ROWS)
+    return attempts.select("user_id", "success", *order).groupBy("user_id").applyInPandas(run, LOCK_ROWS.format(kind(attempts, "user_id")))
 
 
 def login_outcomes_stream(attempts: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def login_outcomes_stream(attempts: DataFrame) -> DataFrame:
         state.update((count, until))
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["user_id", "ts", "outcome", "failures"])
 
-    return attempts.groupBy("user_id").applyInPandasWithState(run, LOCK_ROWS, "count bigint, until double", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("user_id").applyInPandasWithState(run, LOCK_ROWS.format(kind(attempts, "user_id")), "count bigint, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def resend_allowed(requests: DataFrame, cooldown_s: float = 60.0) -> DataFrame:
@@ -110,3 +116,59 @@ def final_messages(tokens: DataFrame) -> DataFrame:
     rows = tokens.groupBy("message_id").agg(text.alias("text"), end.alias("end"))
     status = F.when(F.col("end.kind") == "done", "completed").when(F.col("end.kind") == "error", "failed").otherwise("stopped")
     return rows.select("message_id", F.coalesce(F.when(F.col("end.kind") == "done", F.col("end.data")), F.col("text")).alias("content"), status.alias("status"))
+
+
+def token_flushes_stream(tokens: DataFrame, most: int = 128, after_s: float = 1.0) -> DataFrame:
+    """(message_id, flush, seq, text) of a stream (message_id, seq, ts, token): what each flush writes and its last token's number.
+
+    The state of a message is its open buffer, which holds fewer than `most` tokens."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        flush, held, since = state.get if state.exists else (0, "", None)
+        buffer, rows = (json.loads(held) if held else []), []
+        for seq, ts, token in pd.concat(list(batches)).sort_values("seq")[["seq", "ts", "token"]].itertuples(index=False):
+            since = ts.timestamp() if since is None else since
+            buffer.append(token)
+            if len(buffer) >= most or ts.timestamp() - since >= after_s:
+                rows.append((key[0], flush, seq, "".join(buffer)))
+                flush, buffer, since = flush + 1, [], ts.timestamp()
+        state.update((flush, json.dumps(buffer), since))
+        yield pd.DataFrame(rows, columns=["message_id", "flush", "seq", "text"])
+
+    rows = tokens.select("message_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "token")
+    schema = f"message_id {kind(rows, 'message_id')}, flush bigint, seq {kind(rows, 'seq')}, text string"
+    return rows.groupBy("message_id").applyInPandasWithState(run, schema, "flush bigint, held string, since double", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_progress_stream(events: DataFrame) -> DataFrame:
+    """(job_id, seq, stage, progress) of a stream of progress events: each job's last one so far; for output mode update."""
+    last = F.max_by(F.struct("seq", "stage", "progress"), "seq")
+    return events.groupBy("job_id").agg(last.alias("l")).select("job_id", "l.*")
+
+
+def new_lines(lines: DataFrame, shown: DataFrame) -> DataFrame:
+    """Log lines (job_id, seq, line) behind the last one shown (job_id, seq) of each job: a tail by number, which a capped log can't stall."""
+    seen = shown.select("job_id", F.col("seq").alias("__seen"))
+    return lines.join(seen, "job_id", "left").where(F.col("__seen").isNull() | (F.col("seq") > F.col("__seen"))).drop("__seen")
+
+
+def code_valid(expires: Column, now: Column, purpose: Column, wanted: str) -> Column:
+    """Whether a one-time code may be used: right purpose, not expired, not missing."""
+    return F.coalesce((purpose == wanted) & (expires > now), F.lit(False))
+
+
+#: The events of an answer, and which may follow which.
+FOLLOWS = {
+    None: ("sources", "error"), "sources": ("token", "retrieval_level_note", "done", "error"), "token": ("token", "retrieval_level_note", "done", "error"),
+    "retrieval_level_note": ("done", "error"), "done": (), "error": (),
+}
+
+
+def protocol_errors(events: DataFrame) -> DataFrame:
+    """Rows of (message_id, seq, kind) that may not follow the one before."""
+    by = Window.partitionBy("message_id").orderBy("seq")
+    rows = events.withColumn("before", F.lag("kind").over(by))
+    fine = F.lit(False)
+    for before, after in FOLLOWS.items():
+        fine = F.when(F.col("before").isNull() if before is None else F.col("before") == before, F.col("kind").isin(*after)).otherwise(fine)
+    return rows.where(~fine)

@@ -3,6 +3,7 @@
 import pytest
 from conftest import SF, rows
 
+from parlance.plans import jobs  # noqa: F401
 from parlance.plans.queries import QUERIES, SQL
 
 
