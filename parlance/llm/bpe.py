@@ -426,6 +426,7 @@ def per_row(df: DataFrame, column: str, result: str, work) -> DataFrame:
             for batch in slices(whole, source):
                 arrays = work(batch.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *arrays], names=[*passed, *added])
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it holds
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__in")
     return rows.mapInArrow(run, f"{schema}, {result}" if schema else result)

@@ -11,7 +11,7 @@ that aren't zero (2**bits at most) come to the driver and are broadcast. All doc
 Defined results: null and empty texts have the bias as their only feature; a document with several labels counts as toxic if one says
 so; a null label is no label; a null id counts as held out; with no labelled row at all every score is 0.5 less the smallest step (0.4999), so nothing is rejected; ids may be
 null or repeat, each row is scored by itself; an empty table gives no rows; other columns aren't
-read, and pass through `drop_toxic` unless they are called `__score` or `__in`.
+read, and pass through `drop_toxic` unless one is called `__score`.
 """
 
 from __future__ import annotations
@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import per_row
 from parlance.llm.shared import stored
 
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…-*_"
 #: Words whose hashes a worker keeps.
-KEPT = 400_000
+KEPT = 120_000
 #: Words that are turned into features at once; bounds the memory that a very long text takes.
 AT_ONCE = 200_000
 
@@ -108,7 +107,7 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> np.ndarray:
         l1 = np.where(at == size - 1, 0.0, p.l1)
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
 
-    with_bias = [np.append(r, size - 1) for r in rows]
+    with_bias = [np.append(r, np.int32(size - 1)) for r in rows]
     for _ in range(p.passes):
         for k in rng.permutation(len(rows)):
             at = with_bias[k]
@@ -144,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def train(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("places").to_numpy(), table.column("id").to_numpy())) if table.num_rows else []
-        places = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("places").to_pylist()]
+        places = [np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()]
         y = table.column("y").to_numpy().astype(float)
         w = learn([places[k] for k in order], y[order], params)
         at = np.flatnonzero(w)
@@ -157,22 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, text_col: str = "text", bits: int = Ftrl.bits) -> DataFrame:
     """The rows with the score of their text as the column `name`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    table: list[tuple[np.ndarray, float, np.ndarray]] = []
-
-    def work(texts: list[str | None]) -> list[pa.Array]:
-        if not table:
-            places, found = sent.value
-            weights = np.zeros((1 << bits) + 1, np.float32)
-            weights[places] = found
-            table.append((weights, float(found[places == 1 << bits].sum()) if len(places) else -4e-4, weights != 0))
-        weights, bias, used = table[0]
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            hits = [x[used[x]] for x in features(text, bits)]
-            out[k] = bias + (float(weights[np.unique(np.concatenate(hits))].sum(dtype=float)) if hits else 0.0)
-        return [pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))]
-
-    return per_row(docs, text_col, f"{name} double", work)
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places, found = sent.value
+        weights = np.zeros((1 << bits) + 1, np.float32)
+        weights[places] = found
+        bias = float(found[places == 1 << bits].sum()) if len(places) else -4e-4
+        used = weights != 0
+        for batch in batches:
+            out = np.empty(len(batch))
+            for k, text in enumerate(batch):
+                hits = [x[used[x]] for x in features(text.as_py(), bits)]
+                out[k] = bias + (float(weights[np.unique(np.concatenate(hits))].sum(dtype=float)) if hits else 0.0)
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+
+    return docs.withColumn(name, scores(F.col(f"`{text_col}`")))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = Ftrl.bits, threshold: float = 0.5) -> DataFrame:
