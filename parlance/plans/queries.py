@@ -37,7 +37,7 @@ def head_tail_truncation(spark, d):
 
 
 RE = {k: "|".join(f"(?:{p})" for p in v) for k, v in (("d", intent.DOCUMENT), ("s", intent.SEGMENT))}
-QUESTION = "CASE item_id % 6 WHEN 0 THEN 'Give me a short summary of ' WHEN 1 THEN 'Who said ' WHEN 2 THEN 'main points: ' WHEN 3 THEN 'When did it ' WHEN 4 THEN '要約 ' ELSE 'why ' END || substr(text, 1, 30)"
+QUESTION = "CASE item_id % 6 WHEN 0 THEN 'Give me a short summary of ' WHEN 1 THEN 'Who said ' WHEN 2 THEN 'main points: ' WHEN 3 THEN 'When did it ' WHEN 4 THEN '要約 ' ELSE 'why ' END || text"
 
 
 @query(f"""SELECT item_id, CASE WHEN regexp_matches(q, '(?i){RE["d"]}') THEN 'document' WHEN regexp_matches(q, '(?i){RE["s"]}') THEN 'segment' ELSE 'chunk' END AS level,
@@ -47,7 +47,7 @@ def intent_levels(spark, d):
     return t(spark, d, "benchmark").select("item_id", intent.detect_intent(q).alias("level"), intent.is_summary(q).alias("is_summary"))
 
 
-WHOLE_QUESTION = QUESTION.replace("substr(text, 1, 30)", "text")
+WHOLE_QUESTION = QUESTION
 
 
 @query(f"""SELECT item_id, CASE WHEN regexp_matches(q, '(?i){RE["d"]}') THEN 'document' WHEN regexp_matches(q, '(?i){RE["s"]}') THEN 'segment' ELSE 'chunk' END AS level,
@@ -89,12 +89,12 @@ def interval_overlap_argmax(spark, d):
 
 
 def coarse(spark, d, body=None):
-    """Segments whose speaker changes seldom, with gaps; the text is `body`, or 40 characters."""
-    body = F.substring("text", 1, 40) if body is None else body
+    """Segments whose speaker changes seldom, with gaps; the text is `body`, or the segment's own."""
+    body = F.col("text") if body is None else body
     return segments(spark, d).select("job_id", F.col("idx").alias("ord"), F.when(F.col("idx") % 3 == 0, "A").otherwise("B").alias("speaker"), (F.col("start") + F.when(F.col("idx") % 5 == 4, 1.0).otherwise(0.0)).alias("start"), F.col("end"), body.alias("text"))
 
 
-@query(f"""WITH {SEG}, c AS (SELECT job_id, idx AS ord, CASE WHEN idx % 3 = 0 THEN 'A' ELSE 'B' END AS speaker, s + CASE WHEN idx % 5 = 4 THEN 1.0 ELSE 0.0 END AS s, e, substr(text, 1, 40) AS text FROM seg),
+@query(f"""WITH {SEG}, c AS (SELECT job_id, idx AS ord, CASE WHEN idx % 3 = 0 THEN 'A' ELSE 'B' END AS speaker, s + CASE WHEN idx % 5 = 4 THEN 1.0 ELSE 0.0 END AS s, e, text FROM seg),
 n AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND s - lag(e) OVER w <= 0.5 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY job_id ORDER BY ord)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ord) - 1 AS run FROM n)
 SELECT job_id, run::BIGINT AS run, min_by(s, ord) AS "start", max_by(e, ord) AS "end", any_value(speaker) AS speaker, string_agg(text, ' ' ORDER BY ord) AS text FROM r GROUP BY job_id, run""")
@@ -102,7 +102,7 @@ def speaker_run_merge(spark, d):
     return align.merge_runs(coarse(spark, d))
 
 
-@query(SQL["speaker_run_merge"].replace("substr(text, 1, 40) AS text", "text"))
+@query(SQL["speaker_run_merge"])
 def speaker_run_merge_whole(spark, d):
     return align.merge_runs(coarse(spark, d, F.col("text")))
 
@@ -425,13 +425,13 @@ def upload_validation(spark, d):
 # --- quality ---
 
 
-@query("""WITH p AS (SELECT a.conv_id AS id, regexp_replace(substr(a.text, 1, 80), '[^ -~]', '?', 'g') AS r, regexp_replace(substr(b.text, 1, 80), '[^ -~]', '?', 'g') AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+@query("""WITH p AS (SELECT a.conv_id AS id, regexp_replace(a.text, '[^ -~]', '?', 'g') AS r, regexp_replace(b.text, '[^ -~]', '?', 'g') AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
 w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(r, '\\s+'), lambda x: x <> '')) AS wr, list_distinct(list_filter(regexp_split_to_array(h, '\\s+'), lambda x: x <> '')) AS wh FROM p),
 n AS (SELECT *, len(list_intersect(wr, wh)) AS b FROM w)
 SELECT id, levenshtein(r, h) AS distance, round(levenshtein(r, h) / greatest(length(r), 1), 6) AS cer, round(b / len(wh), 6) AS precision, round(b / len(wr), 6) AS recall,
 round(CASE WHEN b = 0 THEN 0 ELSE 2 * (b / len(wh)) * (b / len(wr)) / (b / len(wh) + b / len(wr)) END, 6) AS f1 FROM n""")
 def transcript_quality(spark, d):
-    c, plain = t(spark, d, "conversations"), F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "?")
+    c, plain = t(spark, d, "conversations"), F.regexp_replace("text", "[^ -~]", "?")
     one = c.where("turn = 0").select(F.col("conv_id").alias("id"), plain.alias("reference"))
     two = c.where("turn = 1").select(F.col("conv_id").alias("id"), plain.alias("hypothesis"))
     return evaluate.quality(one.join(two, "id")).drop("wer")
@@ -439,7 +439,7 @@ def transcript_quality(spark, d):
 
 @query()
 def transcript_quality_whole(spark, d):
-    """All measures over the unaltered texts; `transcript_quality` stays as its SQL has it (80 characters, ASCII, no WER)."""
+    """All measures over the unaltered texts; `transcript_quality` is as its SQL has it (other than ASCII as `?`, no WER)."""
     c = t(spark, d, "conversations")
     one = c.where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("reference"))
     two = c.where("turn = 1").select(F.col("conv_id").alias("id"), F.col("text").alias("hypothesis"))
@@ -500,9 +500,9 @@ def illegal_transitions(spark, d):
     return status.illegal_transitions(t(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), s.alias("status"))).select("job_id", "seq", "before", "status")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Speaker ' || turn ELSE role END AS speaker, text FROM (SELECT conv_id, turn, role, substr(replace(text, E'\\n', ' '), 1, 30) AS text FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Speaker ' || turn ELSE role END AS speaker, text FROM (SELECT conv_id, turn, role, replace(text, E'\\n', ' ') AS text FROM conversations)")
 def speaker_prefix(spark, d):
-    body = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 30)
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     rows = t(spark, d, "conversations").withColumn("body", body)
     even = F.col("turn") % 2 == 0
     rows = rows.select("conv_id", "turn", F.when(even, F.lit(None).cast("string")).otherwise(F.col("role")).alias("speaker"), F.when(even, F.concat(F.lit("Speaker "), F.col("turn").cast("string"), F.lit(": "), "body")).otherwise(F.col("body")).alias("text"))
