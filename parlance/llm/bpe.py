@@ -414,10 +414,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 * AT_ONCE) -> Itera
         start = end
 
 
-def per_row(df: DataFrame, column: str, result: str, work) -> DataFrame:
-    """`df` with `work(values) -> arrays` of the named result columns added batch by batch; same-named columns are replaced."""
+def per_row(df: DataFrame, column: str, result: str, work, carry: list[str] | None = None) -> DataFrame:
+    """`df` with `work(values) -> arrays` of the named result columns added batch by batch; same-named columns are replaced.
+
+    `carry` names the columns that go through the worker and come back (all by default): what is left out there isn't sent twice."""
     added = [x.split()[0] for x in result.split(", ")]
-    passed = [c for c in df.columns if c.lower() not in {a.lower() for a in added} and c != "__in"]
+    passed = [c for c in (df.columns if carry is None else carry) if c.lower() not in {a.lower() for a in added} and c != "__in"]
     source = column if column in passed else "__in"
     rows = df.select(*[F.col(f"`{c}`") for c in passed], *([] if column in passed else [F.col(f"`{column}`").alias("__in")]))
 

@@ -84,6 +84,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Every tenth document (by the checksum of its id) has its words from a place on repeat with a period that fits three times or more.
+PERIODIC = """
+CASE WHEN pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) = 0 AND size(words) > 0
+  THEN array_join(transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[cast(a + (i - a) % (1 + (size(words) - a) div (3 + g % 8)) AS int)] END), ' ') ELSE text END"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.runs import find_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10").alias("g"))
+    docs = docs.withColumn("words", F.expr(r"CASE WHEN pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) = 0 THEN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) END"))
+    docs = docs.withColumn("a", F.expr("CASE WHEN size(words) > 0 THEN g % size(words) END"))
+    found = find_runs(docs.select("doc_id", F.expr(PERIODIC).alias("text")), carry=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli")
+    digests = [F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, milli, *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, pipeline)
+    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, op11_periodic_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -149,6 +169,26 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'), []) AS w, doc_id::VARCHAR AS t FROM documents),
+h AS (SELECT *, len(w) AS n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) AS h FROM d),
+a AS (SELECT *, (h // 10) % n AS a, (h // 10) % 8 AS g8, h % 10 = 0 AND n > 0 AS made FROM h),
+o AS (SELECT rid, doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g8)) + 1] END) ELSE w END AS w FROM a),
+x AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS word FROM o),
+p AS (SELECT l.rid, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.rid = r.rid AND l.word = r.word AND r.i > l.i AND (r.i - l.i) * 3 <= l.n),
+s AS (SELECT rid, q, min(i) AS s, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM p) GROUP BY rid, q, island),
+r AS (SELECT rid, s, length, min(q) AS q FROM s WHERE length >= greatest(24, 3 * q) GROUP BY rid, s, length),
+b AS (SELECT rid, s, length, q FROM r a QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / q DESC, s, q) = 1),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY rid),
+g AS (SELECT DISTINCT rid, unnest(range(s + q, s + length)) AS i FROM r),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM o LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
 def op9_sql() -> str:
     fits = lambda e: f"(host = '{(h := e.split('/')[0])}' OR ends_with(host, '.{h}')) AND starts_with(path, '{e[e.index('/'):]}')"
     rules = sorted(RULES, key=lambda r: -len(r[0]))
@@ -162,4 +202,4 @@ SELECT page_id, host, path, CASE {which} END AS rule, CASE {verdict} ELSE 'allow
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_source_mixing": OP3, "op5_exact_top_k": OP5, "op9_url_filter": op9_sql()}
+    return {"op2_exact_dedup": OP2, "op3_source_mixing": OP3, "op5_exact_top_k": OP5, "op9_url_filter": op9_sql(), "op11_periodic_runs": OP11}
