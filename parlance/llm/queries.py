@@ -104,6 +104,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, milli, *digests)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.whitening import fit, identity_error, whiten
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    basis = fit(vectors)
+    error = identity_error(vectors, basis)
+    explained = F.array(*[F.lit(float(e)) for e in basis.explained]).cast("array<double>")
+    rows = whiten(vectors, basis, carry=["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    last = [F.get(explained, F.col("place")).alias("explained"), F.lit(error).alias("identity_error")]
+    return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(basis.n).cast("bigint").alias("n"), "deviation", "whitened", *last)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, op11_periodic_runs, pipeline)
+    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, op11_periodic_runs, op12_whitening, pipeline)
     return {f.__name__: f for f in ops}
 
 
