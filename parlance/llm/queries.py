@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The listed rules of the URL query (entry, verdict), and hosts whose pages are listed as blocked.
@@ -116,6 +116,34 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(basis.n).cast("bigint").alias("n"), "deviation", "whitened", *last)
 
 
+#: What a log would have of a row: answers are drafted, followed up and regenerated in two deltas, questions are drafted and edited, other texts come in two deltas.
+LOGGED = """
+CASE role WHEN 'assistant' THEN array(
+    named_struct('part', 0, 'step', 0, 'kind', 'open', 'role', role, 'text', ''), named_struct('part', 0, 'step', 1, 'kind', 'delta', 'role', '', 'text', left(text, 9)),
+    named_struct('part', 1, 'step', 2, 'kind', 'open', 'role', 'user', 'text', 'Again'), named_struct('part', 0, 'step', 3, 'kind', 'regenerate', 'role', '', 'text', ''),
+    named_struct('part', 0, 'step', 4, 'kind', 'delta', 'role', '', 'text', substring(text, 1, half)), named_struct('part', 0, 'step', 5, 'kind', 'delta', 'role', '', 'text', substring(text, half + 1)))
+  WHEN 'user' THEN array(
+    named_struct('part', 0, 'step', 0, 'kind', 'open', 'role', role, 'text', left(text, 9)), named_struct('part', 0, 'step', 1, 'kind', 'edit', 'role', '', 'text', text))
+  ELSE array(
+    named_struct('part', 0, 'step', 0, 'kind', 'open', 'role', role, 'text', substring(text, 1, half)), named_struct('part', 0, 'step', 1, 'kind', 'delta', 'role', '', 'text', substring(text, half + 1))) END"""
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.chat import loss_texts, reconstruct, render, turns
+
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))).withColumn("half", F.expr("length(text) div 2").cast("int"))
+    events = rows.select("conv_id", "turn", "copy", F.explode(F.expr(LOGGED)).alias("e")).select("conv_id", "turn", "copy", "e.*")
+    message = ["turn", "copy", "part"]
+    chats = render(reconstruct(events, message=message, sequence=["turn", "copy", "step"]), message=message)
+    read = chats.select("conv_id", "formatted", turns(F.col("formatted")).alias("turns"), loss_texts(F.col("formatted").cast("binary"), F.col("loss_spans")).alias("loss"))
+    lines, loss = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), F.array_join("loss", "")
+    sizes = {"n_turns": F.size("turns"), "loss_chars": F.length(loss), "formatted_chars": F.length("formatted")}
+    return read.select("conv_id", *[c.cast("bigint").alias(name) for name, c in sizes.items()], F.sha2(lines, 256).alias("turns_sha256"), F.sha2(loss, 256).alias("loss_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,7 +151,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, op11_periodic_runs, op12_whitening, pipeline)
+    ops = (op1_html_extraction, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_exact_top_k, op6_token_records, op7_sharding, op8_toxicity, op9_url_filter, op10_simhash, op11_periodic_runs, op12_whitening, op13_chat_format, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -201,6 +229,17 @@ FROM o LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN k USING (rid)
 """
 
 
+OP13 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length(regexp_replace(text, '(<s>|</s>|\\[/?INST\\]|\\[SYS\\]|\\[/?ROLE\\])', '\\\\\\1', 'g')) + 9 + CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 7 WHEN 'system' THEN 5
+  ELSE 15 + length(regexp_replace(role, '(<s>|</s>|\\[/?INST\\]|\\[SYS\\]|\\[/?ROLE\\])', '\\\\\\1', 'g')) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id
+"""
+
+
 def op9_sql() -> str:
     fits = lambda e: f"(host = '{(h := e.split('/')[0])}' OR ends_with(host, '.{h}')) AND starts_with(path, '{e[e.index('/'):]}')"
     rules = sorted(RULES, key=lambda r: -len(r[0]))
@@ -214,4 +253,4 @@ SELECT page_id, host, path, CASE {which} END AS rule, CASE {verdict} ELSE 'allow
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_source_mixing": OP3, "op5_exact_top_k": OP5, "op9_url_filter": op9_sql(), "op11_periodic_runs": OP11}
+    return {"op2_exact_dedup": OP2, "op3_source_mixing": OP3, "op5_exact_top_k": OP5, "op9_url_filter": op9_sql(), "op11_periodic_runs": OP11, "op13_chat_format": OP13}
