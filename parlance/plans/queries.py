@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parlance.functions import intent, status, text, vector
-from parlance.operators import align, chunk, evaluate, index, retrieve, stitch, store, tree
+from parlance.operators import align, chunk, evaluate, index, retrieve, stitch, store, tree, vector_index
+from parlance.operators.lineage import shared_dir
 from parlance.plans.registry import IVL, QUERIES, SEG, SQL, intervals, query, segments, t
 from parlance.sources import transcripts
 from parlance.streaming import events as ev
@@ -228,6 +231,22 @@ def knn_cosine_topk(spark, d):
     return retrieve.knn(t(spark, d, "embeddings"), asked(spark, d), 10)
 
 
+@query(knn_sql("true", 10))
+def knn_stored_index(spark, d):
+    """As knn_cosine_topk, from an index written first; a question reads its nearest cells and those whose bound can still matter."""
+    folder = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(t(spark, d, "embeddings"), folder)
+    return vector_index.search(spark, folder, asked(spark, d), 10)[0]
+
+
+@query(knn_sql("c.label % 3 = 1", 5))
+def knn_stored_level(spark, d):
+    rows = t(spark, d, "embeddings").withColumn("level", F.element_at(F.array(F.lit("document"), F.lit("segment"), F.lit("chunk")), F.col("label") % 3 + 1))
+    folder = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(rows, folder, level_col="level")
+    return vector_index.search(spark, folder, asked(spark, d), 5, "segment")[0]
+
+
 @query(knn_sql("c.label % 3 = 1", 5))
 def knn_level_filter(spark, d):
     rows = t(spark, d, "embeddings").withColumn("level", F.element_at(F.array(F.lit("document"), F.lit("segment"), F.lit("chunk")), F.col("label") % 3 + 1))
