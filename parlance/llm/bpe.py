@@ -445,7 +445,7 @@ def decoded(ids: list[bytes | None], path: str) -> pa.Array:
         raise ValueError(f"id {e} isn't in the vocabulary") from None
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", round_trip: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", round_trip: bool = False, carry: list[str] | None = None) -> DataFrame:
     """The rows with n_tokens and ids (binary: little-endian unsigned 32-bit integers); with `round_trip` also the bytes that
     these ids decode to (column decoded), in the same pass, which spares a second Python worker a task."""
 
@@ -454,7 +454,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", rou
         out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
         return [*out, decoded(ids, path)] if round_trip else out
 
-    return per_row(docs, text_col, "n_tokens bigint, ids binary" + ", decoded binary" * round_trip, work)
+    return per_row(docs, text_col, "n_tokens bigint, ids binary" + ", decoded binary" * round_trip, work, carry)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
