@@ -59,23 +59,6 @@ def test_windows(spark):
     assert [(x.start, x.end) for x in stitch.windows(r, 4, 1).orderBy("n").collect()] == [(0, 4), (3, 7), (6, 10), (9, 10)]
 
 
-def chunks(texts, tokens, overlap):
-    pdf = pd.DataFrame([("j", i, i, t, s, float(i), i + 1.0) for i, (s, t) in enumerate(texts)], columns=["job_id", "pos", "idx", "text", "speaker", "start", "end"])
-    return chunk.chunk_job(pdf, tokens, overlap)
-
-
-def test_chunker_carries_one_segment_even_without_overlap():
-    got = chunks([("S", "x" * 40)] * 3, 10, 0)
-    assert got["positions"].tolist() == [[0], [0, 1], [1, 2]]
-    assert got["text"][0].startswith("S: ") and not got["text"][1].startswith("S: ")
-
-
-def test_chunker_late_speaker_break():
-    got = chunks([("A", "x" * 20), ("B", "x" * 16), ("B", "x" * 16), ("B", "x" * 16)], 20, 0)
-    assert got["positions"].tolist() == [[0, 1, 2], [2, 3]]
-    assert got["speaker"].tolist() == ["multiple", "B"]
-
-
 def test_normalise(spark):
     raw = spark.createDataFrame([(1, 0, "real text", None, None, [10.5, 12.0]), (1, 1, "", "other", "x", None), (1, 2, "  ", None, None, None), (1, 3, "t", None, "oops", None)], "job_id int, idx int, text string, transcript string, start string, timestamp array<double>")
     got = chunk.normalise(raw).orderBy("pos").collect()
