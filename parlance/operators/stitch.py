@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.text import strip
+from parlance.operators.lineage import stored
+from parlance.operators.scan import running, same_named
+
 
 def windows(recordings: DataFrame, length: float, overlap: float) -> DataFrame:
     """(job_id, n, start, end) of windows over `duration`; the last may lie inside the one before."""
@@ -65,23 +68,37 @@ def silence_pairs(lines: DataFrame, min_len: float) -> DataFrame:
     return rows.select("job_id", start.alias("start"), F.col("at").alias("end"))
 
 
-def fold_overlaps(pdf: pd.DataFrame, tolerance: float = 0.25) -> pd.DataFrame:
-    """One job's segments without overlap. A row that would be empty gives its text to the row before."""
-    pdf = pdf.assign(_key=pdf["start"].fillna(1e12)).sort_values(["_key", "ord"], kind="stable")
-    out: list[list] = []
-    for job_id, ord_, start, end, text in pdf[["job_id", "ord", "start", "end", "text"]].itertuples(index=False):
-        if out and pd.notna(start) and pd.notna(end) and pd.notna(out[-1][3]):
-            before = out[-1]
-            if start < before[3] - tolerance:
-                start = before[3]
-            if end <= start:
-                before[4] = f"{before[4]} {text}".strip()
-                continue
-        out.append([job_id, ord_, start, end, text])
-    return pd.DataFrame(out, columns=["job_id", "ord", "start", "end", "text"])
-
-
-def stitch(segments: DataFrame, tolerance: float = 0.25) -> DataFrame:
-    """A true fold: whether a row stays depends on the row that stayed before it. A job's rows are one recording."""
+#: Where segments without a start stand among the others.
+LAST = 1e12
+
+
+def stitch(segments: DataFrame, tolerance: float = 0.25, width: float = 600.0) -> DataFrame:
+    """One recording's segments (job_id, ord, start, end, text) without overlap, by start (null last), then ord.
+
+    A start more than `tolerance` before the end of the segment that stays before it moves to that end; a segment that would be empty is
+    left out and gives its text to the one before. A segment stays whatever its times if it is the first, has no start, or
+    follows one without an end; from there on, the end that counts is the greatest one since. (A segment shorter than the tolerance may
+    stay although it ends earlier, but then no later start is so early that the difference shows.) So this is a running
+    maximum, taken in buckets of `width` seconds, and not a loop over a job. Segments without times and text aren't there."""
     rows = segments.selectExpr("job_id", "ord", "cast(start as double) start", "cast(end as double) end", "text")
-    return rows.groupBy("job_id").applyInPandas(lambda pdf: fold_overlaps(pdf, tolerance), rows.schema)
+    rows = stored(rows.where("start IS NOT NULL OR end IS NOT NULL OR coalesce(text, '') <> ''"))
+    key, order = F.coalesce("start", F.lit(LAST)), [F.coalesce("start", F.lit(LAST)), F.col("ord")]
+    scan = lambda df, **found: stored(running(df, ["job_id"], F.floor(key / width), order, **found))
+    slim = scan(rows.drop("text"), tops={"before": F.struct(key.alias("key"), F.col("ord").alias("ord"), "end")})
+    slim = slim.withColumn("first", F.col("before").isNull() | F.col("start").isNull() | F.col("before.end").isNull()).drop("before")
+    slim = scan(slim, sums={"part": F.col("first").cast("int")}).withColumn("part", F.col("part") + F.col("first").cast("int"))
+    counts = F.col("end").isNotNull() & (F.col("first") | (F.col("start") < F.col("end")))
+    slim = scan(slim, tops={"most": F.when(counts, F.struct("part", "end"))})
+    most = F.when(~F.col("first"), F.col("most.end"))
+    moved = F.coalesce(F.col("start") < most - tolerance, F.lit(False))
+    start = F.when(moved, most).otherwise(F.col("start"))
+    stays = F.col("first") | F.col("end").isNull() | (start < F.col("end"))
+    slim = scan(slim.select("job_id", "ord", "start", "end", start.alias("new"), stays.alias("stays")), sums={"place": F.col("stays").cast("int")})
+    slim = slim.withColumn("place", F.col("place") + F.col("stays").cast("int"))
+    a, b = slim.alias("a"), rows.alias("b")
+    met = a.join(b, same_named("a", "b", ["job_id"]) & F.col("a.ord").eqNullSafe(F.col("b.ord")) & F.col("a.start").eqNullSafe(F.col("b.start")) & F.col("a.end").eqNullSafe(F.col("b.end")))
+    met = met.select("a.*", strip(F.coalesce("b.text", F.lit(""))).alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct(key.alias("key"), "ord", "text")))
+    out = met.groupBy("job_id", "place").agg(F.max(F.when(F.col("stays"), F.struct("ord", "new", "end"))).alias("kept"), lines.alias("lines"))
+    text = F.array_join(F.filter(F.transform("lines", lambda x: x.text), lambda x: x != ""), " ")
+    return out.select("job_id", "kept.ord", F.col("kept.new").alias("start"), "kept.end", text.alias("text"))

@@ -122,16 +122,29 @@ def audio_windows(spark, d):
     return stitch.windows(segments(spark, d).groupBy("job_id").agg(F.max("end").alias("duration")), 30.0, 5.0)
 
 
-@query(f"""WITH RECURSIVE {SEG}, n AS (SELECT job_id, idx AS ord, s - CASE WHEN idx % 2 = 1 THEN 2.0 ELSE 0.0 END AS a, e AS b, text, row_number() OVER (PARTITION BY job_id ORDER BY s - CASE WHEN idx % 2 = 1 THEN 2.0 ELSE 0.0 END, idx) AS pos FROM seg),
-r AS (SELECT job_id, ord, a, b, text, pos, 0 AS g, b AS prev FROM n WHERE pos = 1
-UNION ALL SELECT job_id, ord, a2, b, text, pos, CASE WHEN b <= a2 THEN g ELSE g + 1 END, CASE WHEN b <= a2 THEN prev ELSE b END
-  FROM (SELECT n.*, r.g, r.prev, CASE WHEN n.a < r.prev - 0.25 THEN r.prev ELSE n.a END AS a2 FROM r JOIN n ON n.job_id = r.job_id AND n.pos = r.pos + 1))
-SELECT job_id, arg_min(ord, pos) AS ord, arg_min(a, pos) AS "start", arg_min(b, pos) AS "end", CASE WHEN count(*) = 1 THEN any_value(text) ELSE trim(string_agg(text, ' ' ORDER BY pos)) END AS text FROM r GROUP BY job_id, g""")
+STITCHED = """,
+n AS (SELECT job_id, ord, a, b, text, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(a, 1e12), ord) AS pos FROM w),
+r AS (SELECT job_id, ord, a, b, text, pos, 0 AS g, b AS prev, true AS stays FROM n WHERE pos = 1
+UNION ALL SELECT job_id, ord, a2, b, text, pos, CASE WHEN stays THEN g + 1 ELSE g END, CASE WHEN stays THEN b ELSE prev END, stays
+  FROM (SELECT *, prev IS NULL OR a IS NULL OR b IS NULL OR a2 < b AS stays FROM (SELECT n.*, r.g, r.prev, CASE WHEN n.a < r.prev - 0.25 THEN r.prev ELSE n.a END AS a2 FROM r JOIN n ON n.job_id = r.job_id AND n.pos = r.pos + 1)))
+SELECT job_id, any_value(ord) FILTER (stays) AS ord, any_value(a) FILTER (stays) AS "start", any_value(b) FILTER (stays) AS "end", coalesce(string_agg(trim(text), ' ' ORDER BY pos) FILTER (trim(text) <> ''), '') AS text FROM r GROUP BY job_id, g"""
+
+
+@query(f"WITH RECURSIVE {SEG}, w AS (SELECT job_id, idx AS ord, s - CASE WHEN idx % 2 = 1 THEN 2.0 ELSE 0.0 END AS a, e AS b, text FROM seg){STITCHED}")
 def stitch_overlaps(spark, d):
     rows = segments(spark, d).select("job_id", F.col("idx").alias("ord"), (F.col("start") - F.when(F.col("idx") % 2 == 1, F.lit(2.0)).otherwise(0.0)).alias("start"), "end", "text")
     return stitch.stitch(rows)
 
 
+@query(f"""WITH RECURSIVE w AS (SELECT user_id AS job_id, event_id AS ord, CASE WHEN event_id % 11 <> 3 THEN (epoch_us(ts) // 1000000 % 3600)::DOUBLE END AS a,
+CASE WHEN event_id % 7 <> 2 THEN (epoch_us(ts) // 1000000 % 3600)::DOUBLE + CASE event_id % 5 WHEN 0 THEN 0.125 WHEN 1 THEN 90 WHEN 2 THEN -1 ELSE 20 END END::DOUBLE AS b, event_type AS text FROM events){STITCHED}""")
+def stitch_missing_times(spark, d):
+    """Segments that overlap by much, are very short, end before they begin, or lack a start or an end."""
+    at, e = (F.unix_seconds(F.col("ts").cast("timestamp")) % 3600).cast("double"), F.col("event_id")
+    length = F.when(e % 5 == 0, 0.125).when(e % 5 == 1, 90.0).when(e % 5 == 2, -1.0).otherwise(20.0)
+    return stitch.stitch(t(spark, d, "events").select(F.col("user_id").alias("job_id"), e.alias("ord"), F.when(e % 11 != 3, at).alias("start"), F.when(e % 7 != 2, at + length).alias("end"), F.col("event_type").alias("text")))
+
+
 @query("""WITH r AS (SELECT event_id, (event_id % 100)::DOUBLE AS s, (event_id % 100)::DOUBLE + 30 AS e, [(event_id % 100)::DOUBLE - 1.5, (event_id % 100)::DOUBLE + 1, (event_id % 100)::DOUBLE + 31, (event_id % 100)::DOUBLE + 28.5] AS p FROM events)
 SELECT event_id, coalesce(list_min(list_filter(p, lambda x: abs(x - s) <= 2 AND x <= e)), s) AS "start", coalesce(list_max(list_filter(p, lambda x: abs(x - e) <= 2 AND x >= s)), e) AS "end" FROM r""")
 def silence_snap(spark, d):

@@ -45,15 +45,6 @@ def test_run_merge_text_and_gap(spark):
     assert [(x.text, x.start, x.end) for x in got] == [("x  y", 0.0, 3.0), ("z", 3.6, 4.0)]
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "want"),
-    [((0, 5, "a"), (4, 8, "b"), [(0, 5, "a"), (5, 8, "b")]), ((0, 5, "a"), (4.8, 8, "b"), [(0, 5, "a"), (4.8, 8, "b")]), ((0, 5, "a"), (4, 4.5, "b"), [(0, 5, "a b")])],
-)
-def test_stitch(a, b, want):
-    pdf = pd.DataFrame([(1, 0, *map(float, a[:2]), a[2]), (1, 1, *map(float, b[:2]), b[2])], columns=["job_id", "ord", "start", "end", "text"])
-    assert [tuple(r) for r in stitch.fold_overlaps(pdf)[["start", "end", "text"]].itertuples(index=False)] == want
-
-
 def test_windows(spark):
     r = spark.createDataFrame([(1, 10.0)], "job_id int, duration double")
     assert [(x.start, x.end) for x in stitch.windows(r, 4, 1).orderBy("n").collect()] == [(0, 4), (3, 7), (6, 10), (9, 10)]
