@@ -102,8 +102,9 @@ def minutes_tenths(seconds: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO 8601 in UTC with the offset spelt out; the session's time zone has to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """ISO 8601 in UTC with the offset spelt out, and microseconds where there are any; the session's time zone has to be UTC."""
+    whole = F.unix_micros(ts) % 1_000_000 == 0
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
 
 
 def minute_stamp(ts: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import first_filled, strip, token_estimate
 from parlance.operators.lineage import stored
-from parlance.operators.scan import orbit, running, same_named
+from parlance.operators.scan import lookahead, orbit, running, same_named
 
 #: Rows of one bucket of indices when numbers and sums run over a job.
 WIDTH = 4096
@@ -32,15 +32,6 @@ def normalise(raw: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("n_pos").cast("int").alias("pos"), "idx", F.col("n_text").alias("text"), F.col("n_speaker").alias("speaker"), F.col("n_start").alias("start"), F.col("n_end").alias("end"))
 
 
-def lookahead(rows: DataFrame, reach: int, width: int, behind: int = 0) -> DataFrame:
-    """`rows` (job_id, at, …) by blocks of `width`, each with copies of the rows up to `reach` ahead of it and up to `behind` before it (core is false)."""
-    block = F.floor(F.col("at") / width).cast("bigint")
-    offset = F.col("at") - block * width
-    near = F.array(block, *[F.when(offset <= reach, block - 1)], *([F.when(width - offset <= behind, block + 1)] if behind else []))
-    out = rows.withColumn("own", block).withColumn("block", F.explode(F.array_compact(near)))
-    return out.withColumn("core", F.col("own") == F.col("block")).drop("own")
-
-
 def chunk_steps(rows: DataFrame, limit: int, carry: int) -> DataFrame:
     """(job_id, pos, back, next): a chunk whose first new row is `pos` begins with the rows from `back` on, and the next one's first new row is `next`.
 

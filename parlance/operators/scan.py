@@ -31,6 +31,15 @@ def running(df: DataFrame, part: list[str], bucket: Column, order: list, sums: d
     return both.select("*", *[c.alias(f"__of_{n}") for n, c in found.items()]).where("__row = 1").select(*[c for c in df.columns if c not in found], *[F.col(f"__of_{n}").alias(n) for n in found])
 
 
+def lookahead(rows: DataFrame, reach: int, width: int, behind: int = 0) -> DataFrame:
+    """`rows` (at, …) by blocks of `width`, each with copies of the rows up to `reach` ahead of it and up to `behind` before it (core is false)."""
+    block = F.floor(F.col("at") / width).cast("bigint")
+    offset = F.col("at") - block * width
+    near = F.array(block, *[F.when(offset <= reach, block - 1)], *([F.when(width - offset <= behind, block + 1)] if behind else []))
+    out = rows.withColumn("own", block).withColumn("block", F.explode(F.array_compact(near)))
+    return out.withColumn("core", F.col("own") == F.col("block")).drop("own")
+
+
 def same(a: DataFrame, b: DataFrame, part: list[str]) -> Column:
     out = F.lit(True)
     for p in part:

@@ -169,16 +169,3 @@ def stage_timing(samples: DataFrame, last: int = 100) -> DataFrame:
     by = Window.partitionBy("stage").orderBy(F.col("seq").desc())
     rows = samples.withColumn("age", F.row_number().over(by)).where(F.col("age") <= last)
     return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("duration_ms"), 1).alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"))
-
-
-def unique_names(wanted: DataFrame, taken: DataFrame, longest: int = 60) -> DataFrame:
-    """(id, name): the wanted name, or the first of name_1, name_2, … that is free. `taken` has the column name."""
-    base = wanted.select("id", F.substring("name", 1, longest).alias("base"))
-    used = taken.select(F.regexp_replace("name", r"_\d+$", "").alias("base"), F.coalesce(F.nullif(F.regexp_extract("name", r"_(\d+)$", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("n")).unionByName(taken.select(F.col("name").alias("base"), F.lit(0).cast("bigint").alias("n"))).distinct()
-    rows = base.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("id")).cast("bigint"))
-    most = rows.groupBy("base").agg(F.max("k").alias("most"))
-    taken_n = used.groupBy("base").agg(F.count(F.lit(1)).alias("used"))
-    span = most.join(taken_n, "base", "left").select("base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") + F.coalesce("used", F.lit(0)))).alias("n"))
-    free = span.join(used, ["base", "n"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("n")).cast("bigint"))
-    out = rows.join(free, ["base", "k"])
-    return out.select("id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import intent, status, text, validate
-from parlance.operators import index, retrieve, stitch, store, tree
+from parlance.operators import index, names, retrieve, stitch, store, tree
 from parlance.plans.queries import COS, HMS, NODES, VEC, asked
 from parlance.plans.registry import SEG, query, segments, t
 from parlance.sources import transcripts
@@ -54,7 +54,7 @@ def account_checks(spark, d):
 @query("""WITH p AS (SELECT event_id, event_type, ts, CASE event_id % 4 WHEN 0 THEN '/up/' || event_type || '.tar.GZ' WHEN 1 THEN event_type WHEN 2 THEN '.hidden' ELSE 'a/b.c/' || event_id || '.Wav' END AS path, event_id % 900 / 7.0::DOUBLE AS s FROM events)
 SELECT event_id, substr('job' || event_id || '-0123456789', 1, 8) AS collection, CASE event_id % 4 WHEN 0 THEN event_type || '.tar' WHEN 1 THEN event_type WHEN 2 THEN '.hidden' ELSE event_id::VARCHAR END AS stem,
 CASE event_id % 4 WHEN 0 THEN '.gz' WHEN 3 THEN '.wav' ELSE '' END AS suffix, CASE WHEN s = 0 THEN '—' ELSE printf('%d:%02d.%d', round_even(s * 10, 0)::BIGINT // 600, round_even(s * 10, 0)::BIGINT % 600 // 10, round_even(s * 10, 0)::BIGINT % 10) END AS tenths,
-strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(ts, '%Y-%m-%d %H:%M') AS minute, sha256('m|' || path || '{"a": ' || event_id || ', "lang": "' || event_type || '"}') AS cache_key FROM p""")
+strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00' AS iso, strftime(ts, '%Y-%m-%d %H:%M') AS minute, sha256('m|' || path || '{"a": ' || event_id || ', "lang": "' || event_type || '"}') AS cache_key FROM p""")
 def text_helpers(spark, d):
     e, kind = F.col("event_id"), F.col("event_type")
     path = F.when(e % 4 == 0, F.concat(F.lit("/up/"), kind, F.lit(".tar.GZ"))).when(e % 4 == 1, kind).when(e % 4 == 2, ".hidden").otherwise(F.concat(F.lit("a/b.c/"), e.cast("string"), F.lit(".Wav")))
@@ -244,7 +244,7 @@ def unique_names_taken(spark, d):
     nation = t(spark, d, "nation")
     taken = nation.select(F.concat(n, suffix(F.col("n_nationkey") % 3)).alias("name")).unionByName(nation.select(F.concat(n, F.lit("_5")).alias("name")))
     rows = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("name"))
-    return store.unique_names(rows, taken)
+    return names.unique_names(rows, taken)
 
 
 # --- the index ---

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.status import downloadable
+from parlance.functions.text import SPACE, strip
 
 SEGMENT = "struct<start:string,end:string,text:string,transcript:string,chunk_text:string,speaker:string,spk:string,speaker_label:string,timestamp:array<double>,timestamps:array<double>>"
 #: Fixed value: how a text names its speaker.
-PREFIX = r"^\s*([A-Za-z0-9_\-\s]{1,40}):\s*(.*)$"
+PREFIX = rf"(?d)^{SPACE}*([A-Za-z0-9_\-{SPACE}]{{1,40}}):{SPACE}*(.*)$"
 
 
 def must_parse(value: Column, file: Column) -> Column:
@@ -82,10 +83,14 @@ def asr_segments(results: DataFrame) -> DataFrame:
 
 
 def speaker_prefix(rows: DataFrame) -> DataFrame:
-    """A speaker that the text names in front (`name: text`), where none is given."""
-    hit = F.col("speaker").isNull() & F.col("text").rlike(PREFIX)
-    named = rows.withColumn("_hit", hit).withColumn("speaker", F.when(F.col("_hit"), F.trim(F.regexp_extract("text", PREFIX, 1))).otherwise(F.col("speaker")))
-    return named.withColumn("text", F.when(F.col("_hit"), F.regexp_extract("text", PREFIX, 2)).otherwise(F.col("text"))).drop("_hit")
+    """A speaker that the text names in front (`name: text`, in one line), where none is given; texts and names lose white space at their ends.
+
+    Only \\n ends a line. A name of nothing but white space is none."""
+    text = strip(F.coalesce("text", F.lit("")))
+    found = rows.withColumn("text", text).withColumn("__name", strip(F.regexp_extract("text", PREFIX, 1)))
+    hit = F.col("speaker").isNull() & (F.col("__name") != "")
+    named = found.withColumn("text", F.when(hit, strip(F.regexp_extract("text", PREFIX, 2))).otherwise(F.col("text")))
+    return named.withColumn("speaker", F.when(hit, F.col("__name")).otherwise(F.col("speaker"))).drop("__name")
 
 
 def write_prepared(segments: DataFrame, path: str) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parlance.operators.lineage import stored
+from parlance.operators.scan import lookahead, orbit, running, same_named
 from parlance.operators.store import tail
 
 #: Failures, and for how many minutes they lock an account.
@@ -104,9 +106,40 @@ def login_outcomes_stream(attempts: DataFrame) -> DataFrame:
 
 
 def resend_allowed(requests: DataFrame, cooldown_s: float = 60.0) -> DataFrame:
-    """`requests` (user_id, ts in seconds) with allowed: not within the cooldown of the request before."""
-    by = Window.partitionBy("user_id").orderBy("ts")
-    return requests.withColumn("allowed", F.coalesce(F.col("ts") - F.lag("ts").over(by) >= cooldown_s, F.lit(True)))
+    """`requests` (user_id, ts in seconds) with allowed: a code is issued unless one was issued less than the cooldown before.
+
+    A refused request doesn't count, so what is issued is the path from a user's first request to the first one behind the cooldown,
+    and so on (`orbit`). Of requests at one time the first (by seq, if there is one) counts."""
+    us, order = F.round(F.col("ts") * 1_000_000).cast("bigint"), ["seq"] if "seq" in requests.columns else [F.lit(0)]
+    reach = round(cooldown_s * 1_000_000)
+    rows = stored(requests.withColumn("__us", us).withColumn("__nth", F.row_number().over(Window.partitionBy("user_id", "__us").orderBy(*order))))
+    times = running(rows.where("__nth = 1").select("user_id", F.col("__us").alias("at")), ["user_id"], F.floor(F.col("at") / (64 * reach)), ["at"], {"pos": F.lit(1)})
+    times = stored(times)
+    by = Window.partitionBy("user_id", "block").orderBy("at").rangeBetween(0, reach - 1)
+    steps = lookahead(times, reach, 64 * reach).withColumn("next", F.max("pos").over(by) + 1).where("core")
+    issued = orbit(steps.select("user_id", "pos", "next"), ["user_id"])
+    a, b = times.alias("a"), issued.alias("b")
+    issued = a.join(b, same_named("a", "b", ["user_id"]) & (F.col("a.pos") == F.col("b.pos"))).select("a.user_id", "a.at", F.lit(1).alias("nth"))
+    a, b = rows.alias("a"), issued.alias("b")
+    met = a.join(b, same_named("a", "b", ["user_id"]) & F.col("a.__us").eqNullSafe(F.col("b.at")) & (F.col("a.__nth") == F.col("b.nth")), "left")
+    return met.select(*[f"a.{c}" for c in requests.columns if c != "allowed"], F.col("b.nth").isNotNull().alias("allowed"))
+
+
+def resend_allowed_stream(requests: DataFrame, cooldown_s: float = 60.0) -> DataFrame:
+    """(user_id, ts, allowed) of a stream of requests, each batch in the order of time: the state is when a user's last code was issued."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, rows = state.get[0] if state.exists else None, []
+        for ts in sorted(t for pdf in batches for t in pdf["ts"]):
+            us = round(ts * 1_000_000)
+            allowed = last is None or us - last >= round(cooldown_s * 1_000_000)
+            last = us if allowed else last
+            rows.append((key[0], ts, allowed))
+        state.update((last,))
+        yield pd.DataFrame(rows, columns=["user_id", "ts", "allowed"])
+
+    rows = requests.select("user_id", F.col("ts").cast("double").alias("ts"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, f"user_id {kind(rows, 'user_id')}, ts double, allowed boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def final_messages(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from parlance.operators import chunk
+from parlance.operators import chunk, scan
 
 
 def chunk_job(pdf: pd.DataFrame, chunk_tokens: int, overlap: int) -> pd.DataFrame:
@@ -105,6 +105,6 @@ def test_no_task_holds_a_job(spark):
     got = chunk.chunk(df)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-    sized = chunk.lookahead(df.selectExpr("job_id", "pos", "pos * 10 AS at"), 100, 1600, 100)
+    sized = scan.lookahead(df.selectExpr("job_id", "pos", "pos * 10 AS at"), 100, 1600, 100)
     per = {r.block: r["count"] for r in sized.where("job_id = 'hot'").groupBy("block").count().collect()}
     assert max(per.values()) < 200 and sum(per.values()) < 1.2 * 6000

@@ -108,11 +108,6 @@ def test_partition_overwrite(spark, tmp_path):
         assert sorted(map(tuple, spark.read.parquet(path).select("job_id", "idx").collect())) == [(1, 0), (2, 0)]
 
 
-def test_unique_names(spark):
-    got = store.unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, name string"), spark.createDataFrame([("a",), ("a_2",)], "name string"))
-    assert {r.id: r.name for r in got.collect()} == {1: "a_1", 2: "a_3", 3: "b"}
-
-
 def test_json_shapes(spark, tmp_path):
     (tmp_path / "one.json").write_text('[{"start": 0, "end": 1, "text": "a"}]')
     (tmp_path / "two.json").write_text('{"segments": [{"start": 0, "end": 1, "text": "b"}, {"start": 1, "end": 2, "text": "c"}]}')
