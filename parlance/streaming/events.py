@@ -32,10 +32,11 @@ def rate_limit(events: DataFrame, key: str, most: int, every: str = "1 hour", la
 
 
 def latest_progress(events: DataFrame, logs: int = 50) -> DataFrame:
-    """(job_id, seq, stage, progress, logs): each job's last event and its last messages."""
-    by = Window.partitionBy("job_id").orderBy(F.col("seq").desc())
-    rows = events.withColumn("age", F.row_number().over(by)).where(F.col("age") <= logs)
-    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("seq", "message")))), lambda x: x["message"])
+    """(job_id, seq, stage, progress, logs): each job's last event and its last messages that say something."""
+    says = F.coalesce("message", F.lit("")) != ""
+    by = Window.partitionBy("job_id", "says").orderBy(F.col("seq").desc())
+    rows = events.withColumn("says", says).withColumn("age", F.row_number().over(by)).where(F.col("age") <= logs)
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("says"), F.struct("seq", "message")))), lambda x: x["message"])
     last = F.max_by(F.struct("seq", "stage", "progress"), "seq")
     return rows.groupBy("job_id").agg(last.alias("l"), lines.alias("logs")).select("job_id", "l.seq", "l.stage", "l.progress", tail(F.col("logs"), logs).alias("logs"))
 
@@ -160,23 +161,18 @@ def token_flushes_stream(tokens: DataFrame, most: int = 128, after_s: float = 1.
         flush, held, since = state.get if state.exists else (0, "", None)
         buffer, rows = (json.loads(held) if held else []), []
         for seq, ts, token in pd.concat(list(batches)).sort_values("seq")[["seq", "ts", "token"]].itertuples(index=False):
-            since = ts.timestamp() if since is None else since
+            us = round(ts.timestamp() * 1_000_000)
+            since = us if since is None else since
             buffer.append(token)
-            if len(buffer) >= most or ts.timestamp() - since >= after_s:
+            if len(buffer) >= most or us - since >= after_s * 1_000_000:
                 rows.append((key[0], flush, seq, "".join(buffer)))
-                flush, buffer, since = flush + 1, [], ts.timestamp()
+                flush, buffer, since = flush + 1, [], us
         state.update((flush, json.dumps(buffer), since))
         yield pd.DataFrame(rows, columns=["message_id", "flush", "seq", "text"])
 
     rows = tokens.select("message_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "token")
     schema = f"message_id {kind(rows, 'message_id')}, flush bigint, seq {kind(rows, 'seq')}, text string"
-    return rows.groupBy("message_id").applyInPandasWithState(run, schema, "flush bigint, held string, since double", "append", GroupStateTimeout.NoTimeout)
-
-
-def latest_progress_stream(events: DataFrame) -> DataFrame:
-    """(job_id, seq, stage, progress) of a stream of progress events: each job's last one so far; for output mode update."""
-    last = F.max_by(F.struct("seq", "stage", "progress"), "seq")
-    return events.groupBy("job_id").agg(last.alias("l")).select("job_id", "l.*")
+    return rows.groupBy("message_id").applyInPandasWithState(run, schema, "flush bigint, held string, since bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def new_lines(lines: DataFrame, shown: DataFrame) -> DataFrame:
