@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import intent, status, text, validate
-from parlance.operators import index, names, retrieve, stitch, store, tree
+from parlance.operators import index, names, retrieve, stitch, store, summarize, tree
 from parlance.plans.queries import COS, HMS, NODES, VEC, asked
 from parlance.plans.registry import SEG, query, segments, t
 from parlance.sources import transcripts
@@ -400,6 +400,39 @@ def code_validity(spark, d):
     return t(spark, d, "events").select("event_id", ev.code_valid(F.when(e % 5 > 0, e % 40), F.lit(15), F.col("event_type"), "click").alias("valid"))
 
 
+@query("""WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN CASE WHEN turn % 2 = 1 THEN 'Bob' END ELSE role END AS speaker, CASE WHEN turn % 3 = 1 THEN 'new "' || turn || '"' ELSE text END AS text FROM conversations)
+SELECT conv_id AS job_id, turn AS idx, speaker, text, (turn * 1.5::DOUBLE) AS "start", turn + 0.25::DOUBLE AS confidence, 'w' || turn AS word, conv_id % 2 = 0 AS is_list, CASE WHEN conv_id % 2 = 1 THEN 'file ' || conv_id END AS input_file, CASE WHEN conv_id % 2 = 1 THEN turn_count END AS n FROM s JOIN (SELECT conv_id, count(*) AS turn_count FROM conversations GROUP BY 1) USING (conv_id)""")
+def patched_json(spark, d):
+    """Stored results of both shapes, with fields of their own, after edits of every third segment; read back from the JSON."""
+    c = t(spark, d, "conversations")
+    words = F.array(F.struct(F.concat(F.lit("w"), F.col("turn").cast("string")).alias("w"), (F.col("turn") + 0.25).cast("double").alias("p")))
+    segment = F.struct("turn", F.struct((F.col("turn") * 1.5).cast("double").alias("start"), "text", F.col("role").alias("speaker"), words.alias("words")).alias("s"))
+    jobs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.to_json(segment["s"]).alias("j")))), lambda x: x.j).alias("list"))
+    listed = F.concat(F.lit("["), F.array_join("list", ","), F.lit("]"))
+    held = F.concat(F.lit('{"input_file": "file '), F.col("conv_id").cast("string"), F.lit('", "meta": {"n": '), F.size("list").cast("string"), F.lit(', "x": [null, {}]}, "segments": '), listed, F.lit("}"))
+    stored_ = jobs.select(F.col("conv_id").alias("job_id"), F.when(F.col("conv_id") % 2 == 0, listed).otherwise(held).alias("json"))
+    edits = c.where("turn % 3 = 1").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), F.when(F.col("turn") % 2 == 1, "Bob").alias("speaker"), F.concat(F.lit('new "'), F.col("turn").cast("string"), F.lit('"')).alias("text"))
+    done = transcripts.patch_json(stored_, edits).withColumn("v", F.parse_json("json")).withColumn("is_list", F.startswith("json", F.lit("[")))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    rows = done.select("job_id", "is_list", get("$.input_file", "string").alias("input_file"), get("$.meta.n", "bigint").alias("n"), F.posexplode(F.when(F.col("is_list"), get("$", "array<variant>")).otherwise(get("$.segments", "array<variant>"))).alias("idx", "s"))
+    part = lambda path, kind: F.try_variant_get("s", path, kind)
+    return rows.select("job_id", F.col("idx").cast("bigint").alias("idx"), part("$.speaker", "string").alias("speaker"), part("$.text", "string").alias("text"), part("$.start", "double").alias("start"), part("$.words[0].p", "double").alias("confidence"), part("$.words[0].w", "string").alias("word"), "is_list", "input_file", "n")
+
+
+@query(f"""WITH RECURSIVE {SEG}, n AS (SELECT job_id, idx, '[' || speaker || ' ' || s || '-' || e || '] ' || text AS line, length(text) AS len, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS pos FROM seg),
+r AS (SELECT job_id, idx, pos, len AS used, 0::BIGINT AS g, line FROM n WHERE pos = 1
+UNION ALL SELECT n.job_id, n.idx, n.pos, CASE WHEN r.used > 0 AND r.used + n.len > 1500 THEN n.len ELSE r.used + n.len END, CASE WHEN r.used > 0 AND r.used + n.len > 1500 THEN r.g + 1 ELSE r.g END, n.line FROM r JOIN n ON n.job_id = r.job_id AND n.pos = r.pos + 1),
+p AS (SELECT job_id, g, 'Summarize the following section (' || g + 1 || '/' || max(g) OVER (PARTITION BY job_id) + 1 || ') of a meeting transcript. Focus on key points, decisions, and action items.' || chr(10) || chr(10) || 'User request: Summarize this meeting.' || chr(10) || chr(10) ||
+  'Transcript section:' || chr(10) || lines || chr(10) || chr(10) || 'Summary:' AS prompt FROM (SELECT job_id, g, string_agg(line, chr(10) ORDER BY idx) AS lines FROM r GROUP BY job_id, g)),
+w AS (SELECT job_id, 'The following are summaries of different sections of a meeting transcript. Combine them into a single, coherent summary that addresses the user''s request.' || chr(10) || chr(10) || 'User request: Summarize this meeting.' || chr(10) || chr(10) || 'Section summaries:' || chr(10) ||
+  string_agg('Section ' || g + 1 || ' Summary:' || chr(10) || right(prompt, 90), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY g) || chr(10) || chr(10) || 'Combined summary:' AS prompt FROM p GROUP BY job_id)
+SELECT job_id, 0 AS level, g AS n, prompt FROM p UNION ALL SELECT job_id, 1, 0, prompt FROM w""")
+def summary_prompts(spark, d):
+    """The prompts of both rounds, with the end of a prompt as its summary."""
+    rows = segments(spark, d).withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+    return summarize.summarize(rows, lambda p: p.withColumn("summary", F.right("prompt", F.lit(90))), 1500)[1]
+
+
 # --- recordings ---
 
 

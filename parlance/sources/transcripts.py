@@ -105,6 +105,31 @@ def nested(segments: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.select("job_id", F.to_json(F.struct(F.regexp_extract("filename", "[^/]*$", 0).alias("input_file"), "duration_seconds", "segments", "n_segments")).alias("json"))
 
 
+def patch_json(documents: DataFrame, edits: DataFrame) -> DataFrame:
+    """`documents` (job_id, json, …) with the speaker and text of the segments that `edits` (job_id, idx, speaker, text) names by their place set in the JSON.
+
+    A document is a list of segments or an object that holds one in `segments`. Both shapes, all other fields of segments and of the
+    object stay; only the order of an object's fields may change. A null is set as null; an edit of a place that isn't there changes
+    nothing; of several edits of a place one counts. A document of another shape is an error."""
+    by_place = edits.groupBy("job_id", "idx").agg(F.max(F.struct("speaker", "text")).alias("e")).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("bigint").alias("k"), "e"))).alias("__edits"))
+    rows = documents.join(by_place, "job_id", "left").withColumn("__doc", F.parse_json("json"))
+    kind = F.schema_of_variant("__doc")
+    fields, is_list = F.try_variant_get("__doc", "$", "map<string,variant>"), F.startswith(kind, F.lit("ARRAY"))
+    listed = F.coalesce(F.try_variant_get("__doc", "$.segments", "array<variant>"), F.when(is_list, F.try_variant_get("__doc", "$", "array<variant>")))
+    wrong = F.raise_error(F.concat(F.lit("neither a list of segments nor an object with one: job "), F.col("job_id").cast("string"))).cast("string")
+    said = lambda x: F.coalesce(x.cast("variant"), F.parse_json(F.lit("null")))
+
+    def patched(segment: Column, place: Column) -> Column:
+        edit, others = F.col("__edits")[place.cast("bigint")], F.map_filter(F.variant_get(segment, "$", "map<string,variant>"), lambda k, _: ~k.isin("speaker", "text"))
+        new = F.map_concat(others, F.create_map(F.lit("speaker"), said(edit.speaker), F.lit("text"), said(edit.text)))
+        return F.when(edit.isNull(), segment).otherwise(F.to_variant_object(new))
+
+    segments = F.transform(listed, patched)
+    whole = F.map_concat(F.map_filter(fields, lambda k, _: k != "segments"), F.create_map(F.lit("segments"), segments.cast("variant")))
+    new = F.when(is_list, F.to_json(segments)).otherwise(F.to_json(F.to_variant_object(whole)))
+    return rows.withColumn("json", F.when(F.col("__edits").isNull(), F.col("json")).when(listed.isNull(), wrong).otherwise(new)).select(*documents.columns)
+
+
 def settings_overlay(defaults: DataFrame, stored: DataFrame, hidden: tuple[str, ...] = (), masked: tuple[str, ...] = ()) -> DataFrame:
     """(key, value): the stored value else the default; hidden keys are empty, masked ones dots."""
     out = defaults.select("key", F.col("value").alias("d")).join(stored.select("key", F.col("value").alias("s")), "key", "left")
