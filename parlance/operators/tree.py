@@ -103,20 +103,21 @@ def outline(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("job_id").agg(F.array_join(lines, "\n").alias("outline"))
 
 
-def flatten(trees: DataFrame, depth: int = 4) -> DataFrame:
-    """(job_id, place, node_id, parent_id, level, title, start_segment, end_segment) of nested trees (job_id, tree as JSON), `depth` levels at most; places are in depth-first order."""
-    fields = "node_id:string,title:string,start_segment:bigint,end_segment:bigint"
-    schema = f"struct<{fields}>"
-    for _ in range(depth - 1):
-        schema = f"struct<{fields},children:array<{schema}>>"
-    level = trees.select("job_id", F.from_json("tree", schema).alias("n"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("place"))
-    out = None
-    for k in range(depth):
-        rows = level.where("n IS NOT NULL").select("job_id", "place", "n.node_id", "parent_id", F.lit(k).cast("bigint").alias("level"), "n.title", "n.start_segment", "n.end_segment")
+def flatten(trees: DataFrame) -> DataFrame:
+    """(job_id, place, node_id, parent_id, level, title, start_segment, end_segment) of nested trees (job_id, tree as JSON) of any depth; places are in depth-first order.
+
+    One round a level, until no node has children. A text that isn't a JSON object has no nodes."""
+    get = lambda name, kind: F.try_variant_get("n", f"$.{name}", kind)
+    level = trees.select("job_id", F.try_parse_json("tree").alias("n"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("place"))
+    out, k = None, 0
+    while True:
+        level = stored(level.where(F.startswith(F.schema_of_variant("n"), F.lit("OBJECT"))))
+        rows = level.select("job_id", "place", get("node_id", "string").alias("node_id"), "parent_id", F.lit(k).cast("bigint").alias("level"), get("title", "string").alias("title"), get("start_segment", "bigint").alias("start_segment"), get("end_segment", "bigint").alias("end_segment"))
         out = rows if out is None else out.unionByName(rows)
-        if k + 1 < depth:
-            level = level.select("job_id", F.col("n.node_id").alias("parent_id"), "place", F.posexplode("n.children").alias("at", "n")).withColumn("place", F.concat("place", F.array("at")))
-    return out
+        below = level.select("job_id", get("node_id", "string").alias("parent_id"), "place", F.posexplode(get("children", "array<variant>")).alias("at", "n"))
+        if below.isEmpty():
+            return out
+        level, k = below.withColumn("place", F.concat("place", F.array("at"))), k + 1
 
 
 # --- search: choose nodes, read them, ask whether they suffice, and go on ---
