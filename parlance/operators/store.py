@@ -63,6 +63,27 @@ def new_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("status", F.coalesce("status", F.lit("completed"))).withColumn("sources", sources)
 
 
+def new_users(users: DataFrame) -> DataFrame:
+    """Users (username, password_hash, display_name, is_admin) as stored: shown by their username unless they say otherwise, no admins unless they are."""
+    shown = F.coalesce(F.nullif("display_name", F.lit("")), F.col("username"))
+    return users.withColumns({"display_name": shown, "is_admin": F.coalesce("is_admin", F.lit(False)), "failed_login_attempts": F.lit(0)})
+
+
+def social_users(claims: DataFrame, users: DataFrame) -> DataFrame:
+    """New users for sign-ins (id, uid, name, email, email_verified) whose uid no user (username, uid) has, in the order of ids.
+
+    Of sign-ins with one uid the first counts; without a uid there is none. The username is the name, the e-mail's first part, or
+    fb_ and the uid's first eight characters, made unique among all users."""
+    from parlance.operators.names import unique_names
+
+    first = claims.where("coalesce(uid, '') <> ''").join(users.select("uid"), "uid", "left_anti").groupBy("uid").agg(F.min_by(F.struct("id", "name", "email", "email_verified"), "id").alias("c")).select("uid", "c.*")
+    mail = F.coalesce("email", F.lit(""))
+    name = F.coalesce(F.nullif("name", F.lit("")), F.when(mail != "", F.substring_index(mail, "@", 1)), F.concat(F.lit("fb_"), F.substring("uid", 1, 8)))
+    named = unique_names(first.select("id", name.alias("name")), users.select(F.col("username").alias("name"))).withColumnRenamed("name", "username")
+    out = first.join(named, "id").select("id", "username", "uid", "email", F.coalesce("email_verified", F.lit(False)).alias("email_verified"), F.coalesce(F.nullif("name", F.lit("")), F.col("username")).alias("display_name"))
+    return out.withColumns({"is_admin": F.lit(False), "failed_login_attempts": F.lit(0)})
+
+
 def new_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs (job_id, user_id, filename) as stored: pending, without progress, in their first version."""
     return jobs.withColumns({"status": F.lit("pending"), "progress": F.lit(0.0), "error": F.lit(None).cast("string"), "logs": F.lit("[]"), "transcript_version": F.lit(1)})

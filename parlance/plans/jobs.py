@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions import intent, status, text, validate
+from parlance.functions import intent, status, text, validate, vector
 from parlance.operators import index, names, retrieve, stitch, store, summarize, tree
 from parlance.plans.queries import COS, HMS, NODES, VEC, asked
 from parlance.plans.registry import SEG, query, segments, t
@@ -247,6 +247,44 @@ def unique_names_taken(spark, d):
     return names.unique_names(rows, taken)
 
 
+@query("""SELECT c_custkey, c_name AS username, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_name ELSE 'shown ' || c_custkey END AS display_name, coalesce(CASE WHEN c_custkey % 5 = 0 THEN true END, false) AS is_admin, 0 AS failed_login_attempts FROM customer""")
+def user_rows(spark, d):
+    k = F.col("c_custkey")
+    shown = F.when(k % 3 == 0, "").when(k % 3 == 2, F.concat(F.lit("shown "), k.cast("string")))
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("username"), F.lit("hash").alias("password_hash"), shown.alias("display_name"), F.when(k % 5 == 0, True).alias("is_admin"))
+    return store.new_users(rows).drop("password_hash")
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 > 0 THEN 'uid-' || c_custkey // 2 END AS uid, CASE c_custkey % 3 WHEN 0 THEN 'N' || c_nationkey WHEN 1 THEN '' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'm' || c_nationkey || '@x.org' ELSE '' END AS email, CASE WHEN c_custkey % 4 = 0 THEN true END AS verified FROM customer),
+f AS (SELECT * FROM c WHERE uid IS NOT NULL AND uid NOT IN (SELECT 'uid-' || s_suppkey * 3 FROM supplier) QUALIFY row_number() OVER (PARTITION BY uid ORDER BY id) = 1),
+n AS (SELECT *, coalesce(nullif(name, ''), CASE WHEN email <> '' THEN split_part(email, '@', 1) END, 'fb_' || substr(uid, 1, 8)) AS base FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 + CASE WHEN base IN (SELECT 'N' || s_nationkey FROM supplier) THEN 1 ELSE 0 END AS k FROM n),
+u AS (SELECT *, CASE WHEN k = 0 THEN base ELSE base || '_' || k END AS username FROM k)
+SELECT id, username, uid, email, coalesce(verified, false) AS email_verified, coalesce(nullif(name, ''), username) AS display_name, false AS is_admin, 0 AS failed_login_attempts FROM u""")
+def social_user_rows(spark, d):
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    claims = t(spark, d, "customer").select(
+        k.alias("id"), F.when(k % 11 > 0, F.concat(F.lit("uid-"), F.floor(k / 2).cast("string"))).alias("uid"), F.when(k % 3 == 0, F.concat(F.lit("N"), nation)).when(k % 3 == 1, "").alias("name"),
+        F.when(k % 2 == 0, F.concat(F.lit("m"), nation, F.lit("@x.org"))).otherwise("").alias("email"), F.when(k % 4 == 0, True).alias("email_verified"),
+    )
+    users = t(spark, d, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("username"), F.concat(F.lit("uid-"), (F.col("s_suppkey") * 3).cast("string")).alias("uid"))
+    return store.social_users(claims, users)
+
+
+@query(f"""WITH {VEC}, e AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v)
+SELECT e.vec_id, round(list_sum(list_transform(e.v, lambda x: x / CASE WHEN e.n > 1e-9 THEN e.n ELSE 1 END)), 6) + 0.0::DOUBLE AS unit_sum, round(list_sum(list_transform(list_zip(e.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS l2sq, round(1 - list_inner_product(e.v, o.v), 6) + 0.0::DOUBLE AS ip,
+list_transform(list_filter(list_transform(string_split('.Wav, mp3,' || e.label || ', ', ','), lambda x: lower(trim(x))), lambda x: x <> ''), lambda x: CASE WHEN starts_with(x, '.') THEN x ELSE '.' || x END)::VARCHAR AS extensions
+FROM e JOIN e o ON o.vec_id = 0""")
+def vector_distances(spark, d):
+    rows = t(spark, d, "embeddings")
+    one = rows.where("vec_id = 0").select(F.col("embedding").alias("o"))
+    e, o = F.col("embedding"), F.col("o")
+    total = F.aggregate(vector.unit(e), F.lit(0.0), lambda s, x: s + x)
+    ext = text.extensions(F.concat(F.lit(".Wav, mp3,"), F.col("label").cast("string"), F.lit(", ")))
+    rows = rows.join(F.broadcast(one)).select("vec_id", (F.round(total, 6) + 0.0).alias("unit_sum"), F.round(vector.distance(e, o, "l2sq"), 6).alias("l2sq"), (F.round(vector.distance(e, o, "ip"), 6) + 0.0).alias("ip"), ext.alias("x"))
+    return rows.select("vec_id", "unit_sum", "l2sq", "ip", F.concat(F.lit("["), F.array_join("x", ", "), F.lit("]")).alias("extensions"))
+
+
 # --- the index ---
 
 LEVELS = f"""WITH {SEG}, docs AS (SELECT job_id, 'document' AS level, 0 AS pos, trim(string_agg(trim(text), ' ' ORDER BY idx)) AS text, job_id || '_doc' AS id FROM seg GROUP BY job_id
