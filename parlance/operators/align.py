@@ -39,8 +39,10 @@ def merge_runs(aligned: DataFrame, max_gap: float = 0.5) -> DataFrame:
     same = (F.lag("speaker").over(by) == F.col("speaker")) & (F.col("start") - F.lag("end").over(by) <= max_gap)
     rows = aligned.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(by) - 1)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    joined = F.aggregate(texts, F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit(" "), x)))
-    return rows.groupBy("job_id", "run").agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.first("speaker").alias("speaker"), joined.alias("text"))
+    runs = rows.groupBy("job_id", "run").agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.first("speaker").alias("speaker"), texts.alias("texts"))
+    filled = F.filter(F.transform("texts", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    joined = F.array_join(F.slice("texts", F.coalesce(F.get(filled, 0), F.lit(0)) + 1, F.size("texts")), " ")  # empty texts before the first filled one are left out
+    return runs.select("job_id", "run", "start", "end", "speaker", F.when(F.size(filled) > 0, joined).otherwise("").alias("text"))
 
 
 def durations(segments: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import intent, status, text, vector
@@ -395,8 +396,10 @@ def cascade_delete(spark, d):
 
 @query("SELECT user_id, list(event_id ORDER BY event_id)[-50:]::VARCHAR AS logs FROM events GROUP BY user_id")
 def log_tail(spark, d):
+    by = Window.partitionBy("user_id").orderBy(F.col("event_id").desc())
+    last = t(spark, d, "events").withColumn("age", F.row_number().over(by)).where("age <= 50")
     logs = F.array_sort(F.collect_list("event_id"))
-    return t(spark, d, "events").groupBy("user_id").agg(logs.alias("l")).select("user_id", F.concat(F.lit("["), F.array_join(store.tail(F.col("l"), 50).cast("array<string>"), ", "), F.lit("]")).alias("logs"))
+    return last.groupBy("user_id").agg(logs.alias("l")).select("user_id", F.concat(F.lit("["), F.array_join(store.tail(F.col("l"), 50).cast("array<string>"), ", "), F.lit("]")).alias("logs"))
 
 
 @query("""SELECT event_type AS stage, count(*) AS n, round_even(avg(floor(value)), 1) AS avg_ms, min(floor(value)) AS min_ms, max(floor(value)) AS max_ms
