@@ -53,11 +53,13 @@ CLOSES = {
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select label fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie "
-    "cookies copyright disqus disclaimer dropdown footer footnav gdpr legal login masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond share "
-    "sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
+    "cookies disqus dropdown footer footnav gdpr login masthead menu modal nav navbar navigation newsletter "
+    "notice notices notification pager pagination paywall popup privacy promo promoted promotion recommended replies reply respond share "
+    "sharing sidebar signup skip sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that name parts beside an article, but also what an article is about or who wrote it.
+WEAK_WORDS = frozenset("byline copyright disclaimer legal related social tags".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -71,6 +73,7 @@ class Weights:
     bad_part: float = -7.5
     good_part: float = 3.0
     good_name: float = 1.5
+    weak_name: float = -1.0
     links: float = -5.0
     per_word: float = 0.1
     most_words: float = 2.0
@@ -83,8 +86,8 @@ class Weights:
     scale: int = 1000
 
 
-def named(attributes: str, weights: Weights) -> tuple[float, bool]:
-    """Evidence from an element's attributes, and whether it is hidden."""
+def named(tag: str, attributes: str, weights: Weights) -> tuple[float, bool]:
+    """Evidence from an element's attributes, and whether it is hidden. What an article, a main part or the whole page is called doesn't speak against it."""
     evidence, hidden = 0.0, bool(re.search(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?until)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
     for name, a, b, c in ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -96,18 +99,20 @@ def named(attributes: str, weights: Weights) -> tuple[float, bool]:
             evidence += weights.bad_part if value.lower() in BAD_ROLES else weights.good_part if value.lower() in ("main", "article") else 0
         else:
             words = {w.lower() for w in WORDS.findall(value)}
-            if words & BAD_WORDS:
+            whole = tag in GOOD_TAGS or tag in ("html", "body")
+            if words & BAD_WORDS and not whole:
                 evidence += weights.bad_part
-            elif words & GOOD_WORDS:
-                evidence += weights.good_name
+            else:
+                evidence += weights.good_name * bool(words & GOOD_WORDS) + weights.weak_name * (bool(words & WEAK_WORDS) and not whole)
     return evidence, hidden
 
 
 def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
     """(text, evidence, parent's number, steps through the DOM from the block before) of each block that has text."""
     out: list[tuple[str, float, int, int]] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # element, evidence of it and what is around it, number
-    open_tags: dict[str, int] = {}
+    stack: list[tuple[str, float, int, int]] = [("", 0.0, 0, 0)]  # element, evidence of it and what is around it, number, place of the nearest block
+    open_tags: dict[str, list[int]] = {}  # places in the stack
+    bodyless = False  # no body and no end of a head follow
     count, links, held, pieces, linked, low, at = 0, 0, 0, [], 0, 0, 1
     heading = False
 
@@ -118,9 +123,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
         text = " ".join("".join(pieces).split())
         pieces = []
         if text:
-            k = len(stack) - 1
-            while k and stack[k][0] not in BLOCK:
-                k -= 1
+            k = stack[-1][3]
             n, words = len(text), text.count(" ") + 1
             score = weights.prior + stack[-1][1] + weights.links * min(1.0, linked / n) + min(weights.most_words, weights.per_word * words)
             score += (weights.short if words < 4 else 0) + (weights.sentence if text[-1] in ".!?…:;\"»”" else 0) + (weights.heading if heading else 0)
@@ -133,8 +136,8 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
 
     def pop(to: int) -> None:
         nonlocal links, held, low, heading
-        for tag, _, _ in stack[to:]:
-            open_tags[tag] -= 1
+        for tag, *_ in stack[to:]:
+            open_tags[tag].pop()
             links -= tag == "a"
             held -= tag in HELD
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -143,12 +146,10 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
         low = min(low, len(stack))
 
     def find(tags: tuple[str, ...], stop: tuple[str, ...]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stop:
-                return 0
-        return 0
+        """The place of the innermost of these elements, unless one of `stop` stands inside it."""
+        last = lambda names: max((places[-1] for t in names if (places := open_tags.get(t))), default=0)
+        k = last(tags)
+        return k if k > last(stop) else 0
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -158,7 +159,7 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
             if links:
                 linked += len(raw.strip())
 
-    place, skip = 0, None
+    place = 0
     for found in TAG.finditer(page, 0, page.rfind(">") + 1):  # no tag ends behind the last >, and comments are closed there
         start, end = found.span()
         if start < place:
@@ -176,19 +177,18 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
         if closing:
             if open_tags.get(tag):
                 # An end tag of an inline element doesn't reach through the block that it stands in.
-                k = len(stack) - 1
-                while stack[k][0] != tag and (tag in BLOCK or tag in HELD or stack[k][0] not in BLOCK):
-                    k -= 1
-                if stack[k][0] == tag:
+                k = open_tags[tag][-1]
+                if tag in BLOCK or tag in HELD or k > stack[-1][3]:
                     pop(k)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                skip = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, end)
                 if tag == "head":  # often left open: ends where the body begins
-                    body = re.compile(r"<body\b|</head\b[^>]*>", re.I).search(page, end)
+                    body = None if bodyless else re.compile(r"<body\b|</head\b[^>]*>", re.I).search(page, end)
+                    bodyless = body is None
                     place = (body.start() if body[0].lower().startswith("<body") else body.end()) if body else end
                 else:
+                    skip = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, end)
                     place = skip.end() if skip else len(page)
             continue
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
@@ -199,13 +199,13 @@ def blocks(page: str, weights: Weights) -> list[tuple[str, float, int, int]]:
             pop(k)
         if tag in CLOSES and (k := find(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))):
             pop(k)
-        evidence, hidden = named(attributes, weights) if attributes.strip() else (0.0, False)
+        evidence, hidden = named(tag, attributes, weights) if attributes.strip() else (0.0, False)
         evidence += weights.bad_part * (hidden or tag in BAD_TAGS) + weights.good_part * (tag in GOOD_TAGS and not open_tags.get(tag))
         if tag == "header" and not (open_tags.get("article") or open_tags.get("main")):
             evidence += weights.bad_part
         count += 1
-        stack.append((tag, stack[-1][1] + evidence, count))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        open_tags.setdefault(tag, []).append(len(stack))
+        stack.append((tag, stack[-1][1] + evidence, count, len(stack) if tag in BLOCK else stack[-1][3]))
         links += tag == "a"
         held += tag in HELD
         heading |= tag in ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -37,3 +37,24 @@ def test_url_path_with_line_breaks(spark):
     pages = [(1, "http://example.org/es/a\nb?c"), (2, "http://example.org/es/a\n"), (3, "http://example.org/es/\r\nx#y")]
     got = judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([("example.org/es/", "block", True)], "entry string, verdict string, rule boolean")).collect()
     assert {r.page_id: (r.path, r.verdict) for r in got} == {1: ("/es/a\nb", "block"), 2: ("/es/a\n", "block"), 3: ("/es/\r\nx", "block")}
+
+
+def test_html_takes_linear_time_on_any_page():
+    import time
+
+    pages = ("<b>" * 350_000, "<head>" * 170_000, "<hr>" * 250_000 + "x", "<b>" * 160_000 + "x<hr>" * 100_000, "<a><div>" + "<b>" * 100_000 + "</a>" * 100_000, "<p><table><td>" + "<b>" * 100_000 + "<div>" * 50_000)
+    began = time.time()
+    for page in pages:
+        main_text(page)
+    assert time.time() - began < 60
+
+
+def test_html_class_words_do_not_take_an_article():
+    first = "This is the first sentence of the article, which is long enough, and another part of it follows here so that it is a real paragraph."
+    second = "And this is its second sentence, long enough too, with as many words as a paragraph of some article or other may well have."
+    inside = f"<p>{first}</p><p class=byline>By Ann Example, who wrote it.</p><p>{second}</p>"
+    want = f"{first}\nBy Ann Example, who wrote it.\n{second}"
+    around = "<nav><a href=x>Home</a><a href=y>News</a></nav>%s<footer>All the rest</footer>"
+    for part in (f'<article class="post-1 post category-social tag-legal">{inside}</article>', f'<main id="sidebar-less ads">{inside}</main>', f'<div class="post tag-legal">{inside}</div>'):
+        assert main_text(f"<body class='ads sidebar'>{around % part}</body>") == want, part
+    assert main_text(around % f"<article>{inside}<div class=comments><p>A reader says a word or two, and more words here.</p></div></article>") == want
