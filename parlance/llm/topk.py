@@ -34,6 +34,8 @@ MAX_BLOCKS = 8192
 LEAF = 128
 #: Queries that are routed together, and that meet a block in one task.
 GROUP, SLICE = 64, 4096
+#: Pairs of blocks and slices that are sent whole to the tasks (8 bytes each); more are dealt by block.
+MAX_PAIRS = 1 << 17
 #: Relative room for rounding in the bounds.
 SLACK = 1e-9
 #: The score of no candidate.
@@ -221,6 +223,12 @@ def grouped(queries: pa.Table, width: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in GROUPS.split(", ")])
 
 
+def copied(points: DataFrame, sent: DataFrame) -> DataFrame:
+    """The vectors of each block, once for each slice of queries that was routed to it (and for no other)."""
+    pairs = stored(sent.select(F.col("block").alias("block"), F.col("slice").alias("slice")).distinct())
+    return points.join(F.broadcast(pairs) if pairs.count() <= MAX_PAIRS else pairs, "block")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, rows_per_block: int = 4096) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k largest integer inner products of each query with every other row."""
     spark = vectors.sparkSession
@@ -286,9 +294,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 part = batch.take(pa.array(who[a : a + 512]))
                 yield pa.RecordBatch.from_arrays([part.column(c) if c != "block" else pa.array(number[where[a : a + 512]]) for c in names], names=names)
 
-    sent = groups.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(n_slices)).cast("int")).mapInArrow(routes, GROUPS)
-    pairs = data.select("block").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)).cast("array<int>")))
-    copies = points.join(F.broadcast(pairs), "block")  # at most MAX_BLOCKS pairs a slice
+    sent = stored(groups.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(n_slices)).cast("int")).mapInArrow(routes, GROUPS))
+    copies = copied(points, sent)
     far = sent.groupBy("block", "slice").cogroup(copies.groupBy("block", "slice")).applyInArrow(lambda g, d: search_far(g, d, k, width) if g.num_rows and d.num_rows else pa.table([pa.array([], pa.int64())] * 4, names=["query_id", "query_key", "vec_id", "score"]), FOUND)
     every = near.unionByName(far).groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")

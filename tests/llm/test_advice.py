@@ -58,3 +58,14 @@ def test_html_class_words_do_not_take_an_article():
     for part in (f'<article class="post-1 post category-social tag-legal">{inside}</article>', f'<main id="sidebar-less ads">{inside}</main>', f'<div class="post tag-legal">{inside}</div>'):
         assert main_text(f"<body class='ads sidebar'>{around % part}</body>") == want, part
     assert main_text(around % f"<article>{inside}<div class=comments><p>A reader says a word or two, and more words here.</p></div></article>") == want
+
+
+def test_top_k_copies_blocks_only_for_slices_routed_to_them(spark, monkeypatch):
+    from parlance.llm import topk
+
+    points = spark.createDataFrame([(k % 5, k) for k in range(100)], "block int, id bigint")
+    sent = spark.createDataFrame([(0, 0), (0, 0), (0, 3), (2, 1)], "block int, slice int")
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(topk, "MAX_PAIRS", most)
+        got = {(r.block, r.slice): r["count"] for r in topk.copied(points, sent).groupBy("block", "slice").count().collect()}
+        assert got == {(0, 0): 20, (0, 3): 20, (2, 1): 20}
