@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.shared import stored
+from parlance.llm.shared import HOT_KEYS, skewed_join, stored
 
 #: Shingles counted at once; bounds the memory that a very long text takes.
 AT_ONCE = 1 << 15
@@ -149,13 +149,14 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = 128) -> DataFram
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42, group_limit: int = 128) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     prints = stored(fingerprints(docs, id_col, text_col, words, seed))
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes.select("fp"), distance, group_limit)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = rooted.where(F.col("fp") != F.col("root")).groupBy("root").agg(F.min("least").alias("low"))
     # Most components are one fingerprint; only the others meet in a join.
-    named = rooted.join(named, "root", "left").select("fp", F.least("least", "low").alias("part"), "root")
+    named = rooted.join(named, "root", "left").select("fp", F.least("least", "low").alias("part"), "root", "n")
     head = named.where(F.col("fp") == F.col("root")).select("root", F.col("part").alias("component_id"))
-    label = named.select("fp", "root").join(head, "root").select("fp", "component_id")
-    out = prints.join(label, "fp")
+    label = stored(named.select("fp", "root", "n").join(head, "root").select("fp", "component_id", "n"))
+    total = label.agg(F.sum("n")).first()[0] or 0
+    out = skewed_join(prints, label, ["fp"], F.col("n") > max(2000, total // HOT_KEYS))  # all empty texts, and all copies of one, share a fingerprint
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

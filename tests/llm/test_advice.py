@@ -69,3 +69,18 @@ def test_top_k_copies_blocks_only_for_slices_routed_to_them(spark, monkeypatch):
         monkeypatch.setattr(topk, "MAX_PAIRS", most)
         got = {(r.block, r.slice): r["count"] for r in topk.copied(points, sent).groupBy("block", "slice").count().collect()}
         assert got == {(0, 0): 20, (0, 3): 20, (2, 1): 20}
+
+
+def test_simhash_of_a_fingerprint_that_a_third_of_all_rows_share(spark):
+    from collections import Counter
+
+    from parlance.llm.simhash import fingerprint, near_duplicates
+
+    rng = random.Random(8)
+    texts = [f"text of {rng.random()} and {rng.random()} more" for _ in range(3000)] + ["one and the same text here"] * 3500 + [None] * 3000
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    got = near_duplicates(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(len(texts)))
+    prints = {r.doc_id: r.fingerprint for r in got}
+    assert all(prints[k] == f"{fingerprint(texts[k], 3, 42):016x}" for k in range(0, len(texts), 97))
+    assert {r.component_id for r in got if 3000 <= r.doc_id < 6500} == {3000} and {r.component_id for r in got if r.doc_id >= 6500} == {6500}
