@@ -439,7 +439,7 @@ def code_validity(spark, d):
 
 
 @query("""WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN CASE WHEN turn % 2 = 1 THEN 'Bob' END ELSE role END AS speaker, CASE WHEN turn % 3 = 1 THEN 'new "' || turn || '"' ELSE text END AS text FROM conversations)
-SELECT conv_id AS job_id, turn AS idx, speaker, text, (turn * 1.5::DOUBLE) AS "start", turn + 0.25::DOUBLE AS confidence, 'w' || turn AS word, conv_id % 2 = 0 AS is_list, CASE WHEN conv_id % 2 = 1 THEN 'file ' || conv_id END AS input_file, CASE WHEN conv_id % 2 = 1 THEN turn_count END AS n FROM s JOIN (SELECT conv_id, count(*) AS turn_count FROM conversations GROUP BY 1) USING (conv_id)""")
+SELECT conv_id AS job_id, turn AS idx, speaker, text, (turn * 1.5::DOUBLE) AS "start", turn + 0.25::DOUBLE AS confidence, 'w' || turn AS word, conv_id % 2 = 0 AS is_list, CASE WHEN conv_id % 2 = 1 THEN 'file ' || conv_id END AS input_file, CASE WHEN conv_id % 2 = 1 THEN turn_count ELSE -1 END AS n FROM s JOIN (SELECT conv_id, count(*) AS turn_count FROM conversations GROUP BY 1) USING (conv_id)""")
 def patched_json(spark, d):
     """Stored results of both shapes, with fields of their own, after edits of every third segment; read back from the JSON."""
     c = t(spark, d, "conversations")
@@ -452,7 +452,7 @@ def patched_json(spark, d):
     edits = c.where("turn % 3 = 1").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), F.when(F.col("turn") % 2 == 1, "Bob").alias("speaker"), F.concat(F.lit('new "'), F.col("turn").cast("string"), F.lit('"')).alias("text"))
     done = transcripts.patch_json(stored_, edits).withColumn("v", F.parse_json("json")).withColumn("is_list", F.startswith("json", F.lit("[")))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
-    rows = done.select("job_id", "is_list", get("$.input_file", "string").alias("input_file"), get("$.meta.n", "bigint").alias("n"), F.posexplode(F.when(F.col("is_list"), get("$", "array<variant>")).otherwise(get("$.segments", "array<variant>"))).alias("idx", "s"))
+    rows = done.select("job_id", "is_list", get("$.input_file", "string").alias("input_file"), F.coalesce(get("$.meta.n", "bigint"), F.lit(-1)).alias("n"), F.posexplode(F.when(F.col("is_list"), get("$", "array<variant>")).otherwise(get("$.segments", "array<variant>"))).alias("idx", "s"))
     part = lambda path, kind: F.try_variant_get("s", path, kind)
     return rows.select("job_id", F.col("idx").cast("bigint").alias("idx"), part("$.speaker", "string").alias("speaker"), part("$.text", "string").alias("text"), part("$.start", "double").alias("start"), part("$.words[0].p", "double").alias("confidence"), part("$.words[0].w", "string").alias("word"), "is_list", "input_file", "n")
 
