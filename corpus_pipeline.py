@@ -36,7 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest id.
 
-    SimHash can't find these: pairs at 0.8 differ in about ten of 64 bits, which no set of blocks makes selective (see the README)."""
+    SimHash's fingerprints, blocks and distance find the closest, verified by their shingles; pairs at 0.8 differ in about ten of 64
+    bits, so MinHash bands then complete the groups (see the README)."""
     return drop_near_copies(docs)
 
 

@@ -1,10 +1,14 @@
-"""Near copies at a Jaccard similarity of word shingles: MinHash bands for candidates, exact similarity for links.
-
-Each distinct sequence of words is a node. Its shingles' hashes give `BANDS` band keys of `ROWS` minima each; nodes that share a key are
-candidates. A pair at 0.8 shares no key with probability (1 - 0.8**5)**28, about 0.000015, and more similar pairs less. Every link
-is verified by the shingle sets themselves. First each node meets the smallest node of each of its groups; then, within a group, nodes of
-different components meet, as far as they haven't. Pairs that are in one component already can't change it, so a group of many
-copies isn't compared with itself. Before sets are fetched for these, two bounds rule pairs out, so that few but the links are left:
+"""Near copies at a Jaccard similarity of word shingles: SimHash first, exact similarity for links, MinHash bands for the rest.
+
+Each distinct sequence of words is a node with a SimHash fingerprint of its shingles. As in `simhash.py`, equal fingerprints are one,
+and pigeonhole blocks and the Hamming distance give those within `DISTANCE` bits; every candidate pair is verified by the shingle sets themselves
+and the components of these links are formed. That finds the closest copies. A pair at 0.8 differs in about ten bits and seldom is
+within three, and no link may be lost, so the components are then completed: each node's shingle hashes give `BANDS` band keys of
+`ROWS` minima each, and nodes that share a key are candidates. A pair at 0.8 shares no key with probability (1 - 0.8**5)**28, about
+0.000015, and more similar pairs less. First each node meets the smallest node of each of its groups, unless SimHash has joined
+them already; then, within a group, nodes of different components meet, as far as they haven't. Pairs that are in one component
+can't change it, so a group of many copies isn't compared with itself. Before sets are fetched for these, two bounds rule pairs
+out, so that few but the links are left:
 - Sets at 0.8 or more differ in a ninth of their sizes' sum at most. Each node has `PARITY` bits, a bit being the parity of the
   number of its shingles with that remainder; a shingle that only one set has flips one bit, so the sets differ in at least as many
   shingles as the bits differ. This loses no pair. It is sharp for sets of up to about `PARITY` shingles.
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 from parlance.llm.bpe import slices
 from parlance.llm.components import components
 from parlance.llm.shared import HOT_KEYS, ascii_lower, bit_table, skewed_join, stored, with_hit
+from parlance.llm.simhash import links, majority
 
-WORDS, BANDS, ROWS, AGREE, PARITY = 5, 28, 5, 88, 2048
+WORDS, DISTANCE, BANDS, ROWS, AGREE, PARITY = 5, 3, 28, 5, 88, 2048
 #: Nodes of a block of a group; blocks meet in one Arrow batch each.
 BLOCK = 1024
 #: Shingles hashed at once; bounds the memory that a very long text takes.
@@ -91,21 +96,44 @@ def with_nodes(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, node, keys, sketch)."""
+    """Rows (id, node, fp, keys, sketch); fp is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            keys, sketches = [], []
+            prints, keys, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(words_of(text))
                 found, minima = band_keys(hashes)
+                prints.append(majority(hashes))
                 keys.append(found)
                 sketches.append(minima + parity(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "node", "keys", "sketch"])
+            fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), fps, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "node", "fp", "keys", "sketch"])
         pa.default_memory_pool().release_unused()
 
     rows = with_nodes(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), "text").withColumnRenamed("__node", "node")
-    return rows.mapInArrow(run, "id bigint, node binary, keys array<bigint>, sketch binary")
+    return rows.mapInArrow(run, "id bigint, node binary, fp bigint, keys array<bigint>, sketch binary")
+
+
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from distinct nodes (node, fp): nodes of one fingerprint with its smallest node, and the smallest
+    nodes of fingerprints that SimHash's blocks and the Hamming distance tie."""
+    leads = stored(prints.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")))
+    limit = max(2000, (leads.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    same = skewed_join(prints, leads.where("n > 1"), ["fp"], F.col("n") > limit).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    x, y = leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    tied = links(leads.select("fp"), DISTANCE).distinct().join(x, "a").join(y, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return same.unionByName(tied).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes aren't in one component of `roots` (node, root)."""
+    x = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    counts = stored(counts)
+    limit = max(2000, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    met = skewed_join(pairs, counts, ["b"], F.col("n") > limit).join(x, "a", "left")
+    return met.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,25 +184,27 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents that stay, with all their columns."""
     rows = stored(node_rows(docs, id_col, text_col))
     # Nodes are distinct before they meet; a node's keys are the same in each of its rows.
-    distinct = rows.groupBy("node").agg(F.first("keys").alias("keys"))
+    distinct = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    near = stored(simhash_pairs(stored(distinct.select("node", "fp"))))
     keyed = stored(distinct.select("node", F.explode("keys").alias("key")))
     groups = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups, many = stored(groups), F.col("n") > max(2000, keyed.count() // BANDS // HOT_KEYS)  # BANDS * HOT_KEYS such groups at most
     members = stored(skewed_join(keyed, groups, ["key"], many))
-    tested = stored(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             found = [shingles(words_of(t)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    met = stored(members.select("node").distinct())
+    met = stored(members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     # Only texts that a bounded filter of these nodes lets pass are moved.
     texts = with_nodes(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(F.col("__node").alias("node"), "text")
     texts = with_hit(texts, "node", bit_table(met, "node", met.count()), "hit").where("hit").drop("hit")
     sets = stored(texts.join(met, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(hashed, "node binary, hashes array<bigint>"))
-    links = stored(verified(tested, sets))
-    roots = components(links)
+    roots = components(verified(near, sets))
+    # What SimHash hasn't joined: each node meets the smallest of each of its groups.
+    tested = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    tested = stored(apart(tested.join(near, ["a", "b"], "left_anti"), roots))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(tested, sets)))
     # What is left: nodes of one group that aren't in one component, and haven't met.
     labelled = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     parts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -184,7 +214,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketches = rows.select("node", "sketch").dropDuplicates(["node"])
     open_groups = stored(open_groups.join(sketches, "node"))
     cross = compared(open_groups).distinct()
-    more = verified(cross.join(tested, ["a", "b"], "left_anti"), sets)
+    more = verified(cross.join(tested.unionByName(near), ["a", "b"], "left_anti"), sets)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = rows.where("id IS NOT NULL").select("id", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")

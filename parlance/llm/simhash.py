@@ -57,6 +57,15 @@ def fingerprint(text: str | None, words: int, seed: int) -> int:
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of 64-bit hashes, as an unsigned integer: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 255):  # sums of 255 rows at most fit one byte
+        raw = hashes[k : k + 255].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42) -> DataFrame:
     """Rows (id, fp), fp as a signed 64-bit integer."""
 

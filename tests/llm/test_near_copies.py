@@ -5,7 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from parlance.llm.near_copies import band_keys, compared, may_link, parity
+from parlance.llm import near_copies
+from parlance.llm.near_copies import apart, band_keys, compared, may_link, parity, shingles, simhash_pairs, words_of
+from parlance.llm.simhash import majority
 
 
 def shingle_set(text):
@@ -70,3 +72,37 @@ def test_blocks_of_a_large_group_meet(spark):
     fits = may_link([r[4] for r in rows], [r[4] for r in rows])
     want = {(max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])) for i, j in zip(*np.nonzero(fits)) if rows[i][2] != rows[j][2]}
     assert got == want and len(want) > 1000
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """The stage's fingerprints are majorities of the bits of five-word shingles' hashes, and what SimHash ties is verified before any band is."""
+    words = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{k}" for k in range(90)), ""]
+    hashes = [shingles(words_of(t)) for t in texts]
+    fps = [majority(h) for h in hashes]
+    assert all(fp == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)) for fp, h in zip(fps, hashes))
+    assert (fps[0] ^ fps[1]).bit_count() <= 3 and majority(np.zeros(1000, np.uint64)) == 0
+    seen, first = [], []
+    real_links, real_verified = near_copies.links, near_copies.verified
+    monkeypatch.setattr(near_copies, "links", lambda fps, *a: seen.extend(r.fp for r in fps.collect()) or real_links(fps, *a))
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: first.append(pairs.count()) or real_verified(pairs, sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+    assert {x % (1 << 64) for x in seen} == set(fps)
+    assert first[:2] == [1, 0]  # the pair comes from SimHash, the bands have nothing to add
+
+
+def test_simhash_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 64, 60, np.uint64).tolist()
+    fps = [b ^ int(np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64))) if n else b for b in base for n in (0, 0, 1, 3, 5)]
+    rows = [(b"n%03d" % k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(fps)]
+    got = {tuple(map(bytes, r)) for r in simhash_pairs(spark.createDataFrame(rows, "node binary, fp bigint")).collect()}
+    least = {}
+    for k, fp in enumerate(fps):
+        least.setdefault(fp, b"n%03d" % k)
+    want = {(b"n%03d" % k, least[fp]) for k, fp in enumerate(fps)} | {(max(least[x], least[y]), min(least[x], least[y])) for x in least for y in least if (x ^ y).bit_count() <= 3}
+    assert got == {(a, b) for a, b in want if a != b} and len(got) >= 180
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"c", b"b"), (b"d", b"e")], "a binary, b binary")
+    roots = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"d", b"d")], "node binary, root binary")
+    assert {tuple(map(bytes, r)) for r in apart(pairs, roots).collect()} == {(b"c", b"b"), (b"d", b"e")}
