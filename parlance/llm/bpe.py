@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.shared import release
+
 #: Fixed value: the pattern for which `cut` is right. With any other, texts aren't cut up.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps in each of two generations; about 15 MB each.
@@ -428,7 +430,8 @@ def per_row(df: DataFrame, column: str, result: str, work, carry: list[str] | No
             for batch in slices(whole, source):
                 arrays = work(batch.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *arrays], names=[*passed, *added])
-        pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it holds
+                del arrays
+                release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__in")
     return rows.mapInArrow(run, f"{schema}, {result}" if schema else result)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.bpe import slices
 from parlance.llm.components import components
-from parlance.llm.shared import HOT_KEYS, ascii_lower, bit_table, skewed_join, stored, with_hit
+from parlance.llm.shared import HOT_KEYS, ascii_lower, bit_table, release, skewed_join, stored, with_hit
 from parlance.llm.simhash import links, majority
 
 WORDS, DISTANCE, BANDS, ROWS, AGREE, PARITY = 5, 3, 28, 5, 88, 2048
@@ -109,7 +109,7 @@ def node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sketches.append(minima + parity(hashes))
             fps = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), fps, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "node", "fp", "keys", "sketch"])
-        pa.default_memory_pool().release_unused()
+            release()
 
     rows = with_nodes(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), "text").withColumnRenamed("__node", "node")
     return rows.mapInArrow(run, "id bigint, node binary, fp bigint, keys array<bigint>, sketch binary")
@@ -194,6 +194,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in (part for whole in batches for part in slices(whole, "text")):
             found = [shingles(words_of(t)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+            release()
 
     met = stored(members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     # Only texts that a bounded filter of these nodes lets pass are moved.

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.lineage import shared_dir, stored  # noqa: F401
 
+#: glibc's call that gives freed pages back; other C libraries don't have it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give what this worker has freed back to the system: it is used again, for other operators too, and waits with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

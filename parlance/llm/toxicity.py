@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import stored
+from parlance.llm.shared import release, stored
 
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…-*_"
 #: Words whose hashes a worker keeps.
@@ -107,16 +107,23 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> np.ndarray:
         l1 = np.where(at == size - 1, 0.0, p.l1)
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
 
-    with_bias = [np.append(r, np.int32(size - 1)) for r in rows]
     for _ in range(p.passes):
         for k in rng.permutation(len(rows)):
-            at = with_bias[k]
+            at = np.append(rows[k], np.int32(size - 1))
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]) * (p.positive if labels[k] else 1.0)
             new = n[at] + g * g
             z[at] += g - (np.sqrt(new) - np.sqrt(n[at])) / p.alpha * w
             n[at] = new
-    return weights(np.arange(size))
+    out, seen = np.zeros(size), np.flatnonzero(n)
+    out[seen] = weights(seen)
+    return out
+
+
+def place_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows' places, as views of the column's own memory."""
+    found = (x.as_buffer() for chunk in column.chunks for x in chunk)
+    return [np.frombuffer(b, np.int32) if b.size else np.zeros(0, np.int32) for b in found]
 
 
 def fold(doc_id: Column) -> Column:
@@ -136,18 +143,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             places = [distinct_features(t, bits).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("learner"), pa.array([x.tobytes() for x in places], pa.binary())], names=["id", "y", "learner", "places"])
+            del places
+            release()
 
     rows = rows.withColumn("learner", F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(learners)).cast("int")).select("id", "y", "learner", "text")
     kind = rows.schema["id"].dataType.simpleString()
     seen = rows.mapInArrow(extract, f"id {kind}, y int, learner int, places binary")
 
     def train(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("places").to_numpy(), table.column("id").to_numpy())) if table.num_rows else []
-        places = [np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()]
-        y = table.column("y").to_numpy().astype(float)
-        w = learn([places[k] for k in order], y[order], params)
+        table = table.sort_by([("id", "ascending"), ("places", "ascending")])
+        w = learn(place_rows(table.column("places")), table.column("y").to_numpy().astype(float), params)
         at = np.flatnonzero(w)
-        return pa.table({"place": at, "weight": w[at]})
+        out = pa.table({"place": at, "weight": w[at]})
+        del table, w
+        release()
+        return out
 
     found = seen.groupBy("learner").applyInArrow(train, "place bigint, weight double").groupBy("place").agg((F.sum("weight") / learners).alias("weight")).orderBy("place").toPandas()
     return found["place"].to_numpy(np.int64), found["weight"].to_numpy(float)
@@ -170,6 +180,8 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str,
                 hits = [x[used[x]] for x in features(text.as_py(), bits)]
                 out[k] = bias + (float(weights[np.unique(np.concatenate(hits))].sum(dtype=float)) if hits else 0.0)
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+            batch = text = None  # the text is a view of the batch
+            release()
 
     return docs.withColumn(name, scores(F.col(f"`{text_col}`")))
 
