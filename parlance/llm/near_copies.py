@@ -188,7 +188,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = stored(simhash_pairs(stored(distinct.select("node", "fp"))))
     keyed = stored(distinct.select("node", F.explode("keys").alias("key")))
     groups = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups, many = stored(groups), F.col("n") > max(2000, keyed.count() // BANDS // HOT_KEYS)  # BANDS * HOT_KEYS such groups at most
+    limit = max(2000, keyed.count() // BANDS // HOT_KEYS)
+    groups, many = stored(groups), F.col("n") > limit  # BANDS * HOT_KEYS such groups at most
     members = stored(skewed_join(keyed, groups, ["key"], many))
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -204,18 +205,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(verified(near, sets))
     # What SimHash hasn't joined: each node meets the smallest of each of its groups.
     tested = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    tested = stored(apart(tested.join(near, ["a", "b"], "left_anti"), roots))
+    tested = stored(apart(stored(tested.join(near, ["a", "b"], "left_anti")), roots))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(tested, sets)))
     # What is left: nodes of one group that aren't in one component, and haven't met.
     labelled = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     parts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     mains = parts.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mains = stored(mains.join(groups.select("key", F.col("n").alias("all")), "key"))
-    open_groups = stored(skewed_join(labelled.where("n > 2 AND node <> lead"), mains, ["key"], F.col("all") > max(2000, keyed.count() // BANDS // HOT_KEYS)).drop("all"))
+    open_groups = stored(skewed_join(labelled.where("n > 2 AND node <> lead"), mains, ["key"], F.col("all") > limit).drop("all"))
     sketches = rows.select("node", "sketch").dropDuplicates(["node"])
     open_groups = stored(open_groups.join(sketches, "node"))
-    cross = compared(open_groups).distinct()
-    more = verified(cross.join(tested.unionByName(near), ["a", "b"], "left_anti"), sets)
+    cross = stored(compared(open_groups).distinct().join(tested.unionByName(near), ["a", "b"], "left_anti"))
+    more = verified(cross, sets)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = rows.where("id IS NOT NULL").select("id", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
