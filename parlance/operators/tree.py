@@ -51,11 +51,11 @@ def content_map(nodes: DataFrame, segments: DataFrame, root_first_only: bool = F
 def node_summaries(nodes: DataFrame, segments: DataFrame, most: int = 200) -> DataFrame:
     """(job_id, node_id, summary): what a node says without a model: the first characters of its lines, and dots.
 
-    Only the segments that begin within these characters are gathered."""
+    Only the segments whose own characters, or the line break before them, are among these are gathered."""
     line = F.concat(F.coalesce("speaker", F.lit("UNKNOWN")), F.lit(": "), F.coalesce("text", F.lit("")))
     rows = covered(nodes.where("level > 0")).join(segments.select("job_id", "idx", line.alias("line")), ["job_id", "idx"])
     before = Window.partitionBy("job_id", "node_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).where(F.col("before") < most)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).where(F.col("before") <= most)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"])
     return rows.groupBy("job_id", "node_id").agg(F.concat(F.substring(F.array_join(lines, "\n"), 1, most), F.lit("...")).alias("summary"))
 
