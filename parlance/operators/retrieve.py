@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import strip
-from parlance.functions.vector import cosine, distance, dot, norm, relevance_pct
-
-#: Bytes of query vectors that are sent whole to every task at once.
-BLOCK_BYTES = 32 << 20
+from parlance.functions.vector import cosine, distance, relevance_pct
+from parlance.operators.nearest import blocks, nearest, ranked
 
 
 def with_level_fallback(docs: DataFrame, level: str | None) -> DataFrame:
@@ -25,27 +25,17 @@ def with_level_fallback(docs: DataFrame, level: str | None) -> DataFrame:
 def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank, id, distance, relevance): the k nearest rows of `docs` (id, embedding) to each of `queries` (query_id, q).
 
-    The queries are a stated set that goes to the data in blocks of at most BLOCK_BYTES; each task keeps k rows a query before
-    anything is shuffled. Norms are taken once a vector and not once a pair. A vector without length is at distance 1."""
-    facts = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("width")).first()
-    blocks = max(1, -(-facts["n"] * 8 * (facts["width"] or 1) // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("id"), "embedding", norm(F.col("embedding")).alias("d_norm"))
-    asked = queries.select("query_id", "q", norm(F.col("q")).alias("q_norm"))
-    pairs = None
-    for n in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        met = rows.join(F.broadcast(block))
-        pairs = met if pairs is None else pairs.unionByName(met)
+    The queries are a stated set that goes to the data in blocks; each task keeps k rows a query before anything is shuffled
+    (`operators/nearest.py`). A vector without length is at distance 1; pairs without a distance come last."""
+    rows, asked = docs.select(F.col(id_col).alias("id"), "embedding"), queries.select("query_id", "q")
     if metric == "cosine":
-        size = F.col("q_norm") * F.col("d_norm")
-        far = 1 - F.when(size > 0, dot(F.col("q"), F.col("embedding")) / F.nullif(size, F.lit(0.0))).otherwise(F.when(size.isNotNull(), F.lit(0.0)))
+        out = nearest(rows, asked, k)
     else:
-        far = distance(F.col("q"), F.col("embedding"), metric)
-    # Rounding makes ties total: equal up to the last bits counts as equal.
-    pairs = pairs.select("query_id", "id", F.round(far, 9).alias("distance"))
-    by = Window.partitionBy("query_id").orderBy("distance", "id")
-    out = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), relevance_pct(F.col("distance")).alias("relevance"))
+        # Rounding makes ties total: equal up to the last bits counts as equal.
+        far = F.round(distance(F.col("q"), F.col("embedding"), metric), 9).alias("distance")
+        met = [rows.join(F.broadcast(block)).select("query_id", "id", far) for block, _ in blocks(asked, k)]
+        out = ranked(reduce(DataFrame.unionByName, met), k)
+    return out.select("query_id", "rank", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), relevance_pct(F.col("distance")).alias("relevance"))
 
 
 def level_limits(queries: DataFrame, k: int = 4, chunk_context: int = 6) -> DataFrame:
