@@ -13,16 +13,19 @@ ids; equal distances (to nine decimals) go by id; a level without rows means all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.vector import dot, norm, relevance_pct
+from parlance.functions.vector import relevance_pct
 from parlance.operators.lineage import stored
+from parlance.operators.nearest import Best, entries, gather, pairs, questions, ranked, vectors
 
 #: At most so many centroids, and so many sampled rows a centroid, are held by the driver and sent to tasks.
 MAX_CELLS = 1024
@@ -33,8 +36,6 @@ FILE_ROWS = 200_000
 SLACK = 1e-8
 #: Folder names begin with it, so that no level is read as a number.
 ANY = "-"
-#: Questions (with their cells) up to so many bytes are sent whole to the tasks that read the rows.
-SEND_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +104,10 @@ def build(docs: DataFrame, path: str, id_col: str = "vec_id", level_col: str | N
 
 
 class Map(NamedTuple):
-    """The index's cells as a question's task needs them."""
+    """The index's cells as a question's task needs them; `place` is a cell's place among all cells of the index, of which there are `total`."""
 
-    level: list[str]
+    place: np.ndarray
+    total: int
     cell: list[int]
     n: np.ndarray
     nearest: np.ndarray
@@ -122,57 +124,114 @@ class Map(NamedTuple):
         return np.where(zero, np.sqrt(2), away), np.where(zero, 1.0, least * least / 2)
 
 
+def all_cells(spark: SparkSession, path: str) -> list[Row]:
+    """The index's cells in the order of their places."""
+    return spark.read.parquet(f"{path}/cells").orderBy("level", "cell").collect()
+
+
 def cell_map(spark: SparkSession, path: str, level: str | None) -> Map | None:
     """The cells of a level, or of all if it has none; a row for each level and cell, so their number is bounded."""
-    found = spark.read.parquet(f"{path}/cells").orderBy("level", "cell").collect()
-    found = [r for r in found if level is not None and r.level == ANY + level] or found
+    cells = list(enumerate(all_cells(spark, path)))
+    found = [(n, r) for n, r in cells if level is not None and r.level == ANY + level] or cells
     if not found:
         return None
-    return Map([r.level for r in found], [r.cell for r in found], *(np.array([r[c] for r in found], float) for c in ("n", "nearest", "farthest", "centroid")))
+    return Map(np.array([n for n, _ in found]), len(cells), [r.cell for _, r in found], *(np.array([r[c] for _, r in found], float) for c in ("n", "nearest", "farthest", "centroid")))
 
 
 def route(queries: DataFrame, cells: Map, k: int, kth: bool) -> DataFrame:
-    """(query_id, q, level, cell): with `kth` (a column of `queries`, null if k rows weren't found) the cells that can still matter,
-    else the nearest that hold k rows."""
+    """(query_id, q, kth, cells: one bit a cell of the index): with `kth` (a column of `queries`, null if k rows weren't found) the cells
+    that can still matter, else the nearest that hold k rows. Questions without cells are left out."""
     dims = cells.centroid.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, x = matrix(batch.column("q"), dims)
-            row, cell = [], []
-            limits = batch.column("kth").to_pylist() if kth else [None] * batch.num_rows
+            some, bits = [], []
+            limits = batch.column("kth").to_pylist()
             for at, q in zip(np.flatnonzero(ok).tolist(), x):
                 away, least = cells.bounds(q)
                 order = np.argsort(away, kind="stable")
                 first = order[: 1 + int(np.searchsorted(np.cumsum(cells.n[order]), k))]
+                can = np.zeros(len(order), bool)
                 if kth:
                     can = least <= (np.inf if limits[at] is None else limits[at] + SLACK)
-                    can[first] = False
-                    first = np.flatnonzero(can)
-                row += [at] * len(first)
-                cell += first.tolist()
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("q").take(take), pa.array([cells.level[c] for c in cell], pa.string()), pa.array([cells.cell[c] for c in cell], pa.int32())], names=["query_id", "q", "level", "cell"])
+                can[first] = not kth
+                if can.any():
+                    mine = np.zeros(cells.total, bool)
+                    mine[cells.place[can]] = True
+                    some.append(at)
+                    bits.append(np.packbits(mine).tobytes())
+            kept = batch.take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(bits, pa.binary())], names=[*kept.schema.names, "cells"])
+
+    rows = queries.select("query_id", "q", F.col("kth") if kth else F.lit(None).cast("double").alias("kth"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, cells binary")
 
-    rows = queries.select("query_id", "q", *(["kth"] if kth else []))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, f"query_id {kinds['query_id']}, q {kinds['q']}, level string, cell int")
+
+def opened(column: pa.Array, total: int) -> np.ndarray:
+    """Which cells (columns) each route (row) has."""
+    width = -(-total // 8)
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    return np.unpackbits(packed, axis=1, count=total).astype(bool)
 
 
 def meet(spark: SparkSession, path: str, routes: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows of each question in its cells. Only their folders are listed and read."""
-    wanted = routes.select("level", "cell").distinct().collect()
+    """(query_id, id, distance, rank): the k nearest rows of each question in its cells. Only their folders are listed and read.
+
+    A block of questions is sent to the rows, as in `operators/nearest.py`; a cell's rows meet the questions that go there."""
+    cells = all_cells(spark, path)
+    place, cores = {(r.level, r.cell): n for n, r in enumerate(cells)}, spark.sparkContext.defaultParallelism
     rows = spark.read.parquet(f"{path}/rows")
-    folders = F.struct("level", "cell").isin([F.struct(F.lit(r.level), F.lit(r.cell)) for r in wanted]) if wanted else F.lit(False)
-    rows = rows.where(F.col("level").isin([r.level for r in wanted]) & F.col("cell").isin([r.cell for r in wanted]) & folders)
-    rows = rows.withColumn("d_norm", norm(F.col("embedding")))
-    size = F.col("q_norm") * F.col("d_norm")
-    near = F.when(size > 0, dot(F.col("q"), F.col("embedding")) / F.nullif(size, F.lit(0.0))).otherwise(F.lit(0.0))
-    asked = routes.withColumn("q_norm", norm(F.col("q")))
-    bytes_ = routes.agg(F.sum(8 * F.size("q") + 64).alias("b")).first().b or 0
-    met = rows.join(F.broadcast(asked) if bytes_ <= SEND_BYTES else asked, ["level", "cell"]).select("query_id", "id", F.round(1 - near, 9).alias("distance"))
-    by = Window.partitionBy("query_id").orderBy("distance", "id")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    kinds = f"query_id {routes.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, far double"
+
+    def look(table: pa.Table) -> tuple[DataFrame, Broadcast]:
+        wanted = [cells[n] for n in np.flatnonzero(opened(table.column("cells"), len(cells)).any(axis=0))]
+        folders = F.lit(False)
+        for level, mine in groupby(wanted, lambda r: r.level):
+            folders |= (F.col("level") == level) & F.expr(f"cell IN ({', '.join(str(r.cell) for r in mine)})")
+        some = rows.where(folders)
+        # Many small files; a task of several keeps k rows a question for all of them.
+        some = some.coalesce(max(2 * cores, sum(r.n for r in wanted) // FILE_ROWS)).select("id", "embedding", "level", "cell")
+        sent = spark.sparkContext.broadcast(table)
+        return some.mapInArrow(lambda batches: read_cells(batches, sent, place, k), kinds), sent
+
+    return gather(routes, k, look)
+
+
+def read_cells(batches: Iterator[pa.RecordBatch], sent: Broadcast, place: dict[tuple[str, int], int], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of this task's rows (id, embedding, level, cell) for each question sent (query_id, q, kth, cells): (query_id, id, far)."""
+    table = sent.value
+    names, groups = questions(table)
+    if not groups:
+        return
+    ((width, (at, asked)),) = groups.items()  # all have the index's width, or they would have no route
+    goes = np.ascontiguousarray(opened(table.column("cells"), len(place))[at].T)
+    best = Best(asked, k, table.column("kth").to_numpy()[at].astype(float))
+    for batch in batches:
+        levels = batch.column("level").dictionary_encode()
+        where = levels.indices.to_numpy().astype(np.int64) << 32 | (batch.column("cell").to_numpy() + 1)
+        for code in np.unique(where).tolist():
+            mine = np.flatnonzero(where == code)
+            to = np.flatnonzero(goes[place[levels.dictionary[code >> 32].as_py(), (code & 0xFFFFFFFF) - 1]])
+            best.add(batch.column("id").take(pa.array(mine)), vectors(entries(batch.column("embedding"), mine, width)), to)
+    q, far, ids = best.merge()
+    if len(q):
+        yield pairs(names, at[q], ids, pa.array(far))
+
+
+def cells_read(spark: SparkSession, path: str, routes: DataFrame) -> DataFrame:
+    """(query_id, level, cell) of routes."""
+    cells = all_cells(spark, path)
+    level, cell = pa.array([r.level for r in cells], pa.string()), pa.array([r.cell for r in cells], pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = (pa.array(x) for x in np.nonzero(opened(batch.column("cells"), len(cells))))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), level.take(n), cell.take(n)], names=["query_id", "level", "cell"])
+
+    rows = routes.select("query_id", "cells")
+    return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, level string, cell int")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, level: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -186,8 +245,6 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, level: st
     near = stored(meet(spark, path, first, k))
     kth = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
     more = stored(route(asked.join(kth, "query_id", "left"), cells, k, True))
-    found = near.drop("rank").unionByName(meet(spark, path, more, k).drop("rank"))
-    by = Window.partitionBy("query_id").orderBy("distance", "id")
-    found = found.withColumn("rank", F.row_number().over(by).cast("bigint")).where(F.col("rank") <= k)
+    found = ranked(near.drop("rank").unionByName(meet(spark, path, more, k).drop("rank")), k)
     answer = found.select("query_id", "rank", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), relevance_pct(F.col("distance")).alias("relevance"))
-    return answer, first.unionByName(more).drop("q")
+    return answer, cells_read(spark, path, first.unionByName(more))
