@@ -94,3 +94,15 @@ def test_no_pair_is_a_row(spark):
     assert len(got) == 300 and all(got[i] == brute(all_, all_[i][1], 5) for i in range(0, 3000, 500))
     for metric in ("ip", "l2sq"):
         assert retrieve.knn(rows, asked.where("query_id < 100"), 5, metric).count() == 50
+
+
+def test_a_level_without_rows_falls_back_to_all(spark):
+    rng = np.random.default_rng(10)
+    all_ = list(enumerate(rng.standard_normal((800, 5)).tolist()))
+    docs = spark.createDataFrame([(i, v, "ab"[i % 2]) for i, v in all_], "vec_id bigint, embedding array<double>, level string")
+    asked = docs.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    for level, some in (("none", all_), ("b", all_[1::2]), (None, all_)):
+        found = retrieve.knn(retrieve.with_level_fallback(docs, level), asked, 5)
+        assert plan(found).split("Initial Plan")[0].count("NestedLoopJoin") == (level is not None)  # only the level's count meets the rows
+        got = answers(found)
+        assert got == {i: brute(some, v, 5) for i, v in all_[::10]}
