@@ -106,3 +106,18 @@ def test_a_level_without_rows_falls_back_to_all(spark):
         assert plan(found).split("Initial Plan")[0].count("NestedLoopJoin") == (level is not None)  # only the level's count meets the rows
         got = answers(found)
         assert got == {i: brute(some, v, 5) for i, v in all_[::10]}
+
+
+def test_diverse_selection_of_the_recalled(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((1000, 6))
+    docs = spark.createDataFrame(list(enumerate(v.tolist())), "id bigint, embedding array<double>")
+    asked = docs.where("id % 25 = 0").selectExpr("id AS query_id", "embedding AS q")
+    recalled = retrieve.knn(docs, asked, 30, id_col="id")
+    rows = recalled.join(docs, "id").join(asked, "query_id").withColumn("pos", recalled["rank"] - 1)
+    chosen = retrieve.mmr(rows, 4)
+    assert "NestedLoopJoin" not in plan(chosen)
+    got, all_ = {(r.query_id, r["rank"]): r.pos for r in chosen.collect()}, list(enumerate(v.tolist()))
+    for q in range(0, 1000, 25):
+        near = [i for _, i in brute(all_, all_[q][1], 30)]
+        assert [got[q, n] for n in range(1, 5)] == retrieve.mmr_order(v[q], v[near], 4, 0.7)
