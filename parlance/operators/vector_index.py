@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.vector import relevance_pct
 from parlance.operators.lineage import stored
-from parlance.operators.nearest import Best, entries, gather, pairs, questions, ranked, vectors
+from parlance.operators.nearest import Best, gather, pairs, questions, ranked
 
 #: At most so many centroids, and so many sampled rows a centroid, are held by the driver and sent to tasks.
 MAX_CELLS = 1024
@@ -205,7 +205,7 @@ def read_cells(batches: Iterator[pa.RecordBatch], sent: Broadcast, place: dict[t
     names, groups = questions(table)
     if not groups:
         return
-    ((width, (at, asked)),) = groups.items()  # all have the index's width, or they would have no route
+    ((at, asked),) = groups.values()  # all have the index's width, or they would have no route
     goes = np.ascontiguousarray(opened(table.column("cells"), len(place))[at].T)
     best = Best(asked, k, table.column("kth").to_numpy()[at].astype(float))
     for batch in batches:
@@ -214,7 +214,7 @@ def read_cells(batches: Iterator[pa.RecordBatch], sent: Broadcast, place: dict[t
         for code in np.unique(where).tolist():
             mine = np.flatnonzero(where == code)
             to = np.flatnonzero(goes[place[levels.dictionary[code >> 32].as_py(), (code & 0xFFFFFFFF) - 1]])
-            best.add(batch.column("id").take(pa.array(mine)), vectors(entries(batch.column("embedding"), mine, width)), to)
+            best.add(batch.column("id"), batch.column("embedding"), mine, to)
     q, far, ids = best.merge()
     if len(q):
         yield pairs(names, at[q], ids, pa.array(far))

@@ -121,3 +121,18 @@ def test_diverse_selection_of_the_recalled(spark):
     for q in range(0, 1000, 25):
         near = [i for _, i in brute(all_, all_[q][1], 30)]
         assert [got[q, n] for n in range(1, 5)] == retrieve.mmr_order(v[q], v[near], 4, 0.7)
+
+
+def test_of_very_many_copies_k_meet_the_questions(monkeypatch):
+    import pyarrow as pa
+
+    x = np.repeat(np.array([[1.0, 2.0], [0.0, 1.0]]), [3000, 5], axis=0)
+    column = pa.array(x.tolist(), pa.list_(pa.float64()))
+    met = []
+    keep = nearest.Best.meet
+    monkeypatch.setattr(nearest.Best, "meet", lambda self, ids, rows, some: (met.append(len(ids)), keep(self, ids, rows, some)))
+    best = nearest.Best(nearest.vectors(x[::100]), 7)
+    best.add(pa.array(range(3005, 0, -1)), column, np.arange(3005))
+    q, far, ids = best.merge()
+    assert met == [12] and q.tolist() == np.repeat(np.arange(31), 7).tolist()
+    assert ids.to_pylist() == [*range(6, 13)] * 30 + [1, 2, 3, 4, 5, 6, 7] and np.abs(far[:210]).max() < 1e-15
